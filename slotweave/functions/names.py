@@ -15,7 +15,7 @@ _ENCLOSED = re.compile(r"\s*[(\[{][^()\[\]{}]*[)\]}]\s*$")
 
 def words(name: str) -> list[str]:
     """The words of a name, whatever case, separators, brackets or humps it is typed in."""
-    s = unicodedata.normalize("NFKC", name).strip()
+    s = unicodedata.normalize("NFKC", name).strip().strip("{}[]<>").strip()
     bare = _ENCLOSED.sub("", s)
     s = bare if re.search(r"\w", bare) else s
     humped = not re.search(r"[^\W_][\s_.\-]+[^\W_]", s) and sum(c.islower() for c in s) > sum(c.isupper() for c in s)
