@@ -24,6 +24,7 @@ def canonical(rows: DataFrame, column: str, reference: DataFrame, max_broadcast:
     the tree and rows stream past it; beyond that the entries are cut into shards, the distinct names meet each shard,
     and the shards' winners are merged."""
     reference = reference.select("slot_id", "slot_name", "known_aliases")
+    rows = rows.drop("slot_id")
     total = reference.count()
     if total <= max_broadcast:
         return named(rows, column, [(r[0], r[1], list(r[2] or [])) for r in reference.collect()], "slot_id")

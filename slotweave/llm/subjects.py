@@ -162,7 +162,7 @@ def learn(names: list[str], examples: list[tuple[str, str]], unlabelled: list[st
         for x in g:
             counts.setdefault(x, np.zeros(n))[k] += 1
     seeds = {grams(w.casefold())[0]: at[k] for k, ws in WEAK_WORDS.items() if k in at for w in ws.split()}
-    pure = _pure(counts, np.maximum(1, np.bincount([k for _, k in labelled], minlength=n)), 4, 0.9) | seeds
+    pure = _pure(counts, np.maximum(1, np.bincount(np.array([k for _, k in labelled], dtype=int), minlength=n)), 4, 0.9) | seeds
     docs = [[grams(s) for s in sentences(t)] for t in unlabelled]
     for _ in range(rounds):
         counts, base = {}, np.ones(n)
@@ -199,6 +199,8 @@ def mark_subjects(documents: DataFrame, examples: list[tuple[str, str]], names:
     """(doc_id, subject, sentences, held): for each document the subjects of at least `least_share` of its subject-bearing
     sentences. The model learns from the examples and at most fit_documents documents; every document is judged."""
     documents = documents.where("trim(text) <> ''").select("doc_id", "text")
+    if not names:
+        return documents.sparkSession.createDataFrame([], "doc_id long, subject string, sentences int, held double")
     total = documents.count()
     some = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-total // fit_documents)))) == 0).limit(fit_documents)
     model = learn(names, examples, [r["text"] for r in some.select("text").collect()])
