@@ -31,7 +31,7 @@ def canonical(rows: DataFrame, column: str, reference: DataFrame, max_broadcast:
     shards = -(-total // max_broadcast)
     names = rows.where(F.trim(column) != "").groupBy(F.col(column).alias("_name")).agg(F.count("*").alias("_n"))
     asked = names.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("block", F.pmod(F.xxhash64("_name"), F.lit(64)))
-    entries = reference.withColumn("shard", F.pmod(F.xxhash64("slot_id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(63))).cast("long"))
+    entries = reference.withColumn("shard", F.pmod(F.xxhash64("slot_id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))))
     schema = T.StructType([T.StructField("_name", T.StringType()), T.StructField("_n", T.LongType()), T.StructField("slot_id", T.IntegerType()), T.StructField("_d", T.IntegerType())])
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -166,6 +166,11 @@ def learn(names: list[str], examples: list[tuple[str, str]], unlabelled: list[st
     docs = [[grams(s) for s in sentences(t)] for t in unlabelled]
     for _ in range(rounds):
         counts, base = {}, np.ones(n)
+        for text, k in examples:
+            if k in at and text:
+                base[at[k]] += 1
+                for x in {x for s in sentences(text) for x in grams(s)}:
+                    counts.setdefault(x, np.zeros(n))[at[k]] += 1
         for d in docs:
             votes = [v for v in (_vote(g, pure, n) for g in d) if v >= 0]
             if len(votes) < 2:
@@ -177,20 +182,31 @@ def learn(names: list[str], examples: list[tuple[str, str]], unlabelled: list[st
             base[k] += 1
             for x in {x for g in d for x in g}:
                 counts.setdefault(x, np.zeros(n))[k] += 1
-        pure = {g: k for g, k in seeds.items() if g not in counts or counts[g].sum() < 5} | _pure(counts, base, 5, 0.8)
+        pure = {g: k for g, k in seeds.items() if g not in counts or counts[g].sum() < 5} | _pure(counts, base, 4, 0.8)
     eye, none = np.eye(n, dtype=np.float32), np.zeros(n, dtype=np.float32)
-    target = lambda g: none if (k := _vote(g, pure, n)) < 0 else eye[k]
-    sure = [(g, target(g), 1.0) for g, _ in labelled]
+    # Words that stand under three subjects or more tell none apart. A sentence of such words (but for one, as a name is)
+    # bears no subject; one with several words that are not known bears its label, or none without one.
+    common = {x for x, c in counts.items() if x not in pure and (c > 0).sum() >= 3}
+
+    def target(g: list[int]) -> np.ndarray | None:
+        k = _vote(g, pure, n)
+        return eye[k] if k >= 0 else none if sum(x not in common for x in g) <= 3 else None
+
+    def bears(g: list[int]) -> np.ndarray:
+        t = target(g)
+        return none if t is None else t
+
+    sure = [(g, eye[k] if (t := target(g)) is None else t, 1.0) for g, k in labelled]
     held = sure[::5]
     often = Counter(tuple(g) for d in docs for g in d)
-    all_rows = [(list(g), t, (2.0 if t.any() else 1.0) + min(6.0, math.log2(c))) for g, c in often.items() for t in [target(g)]]
+    all_rows = [(list(g), t, (2.0 if t.any() else 1.0) + min(6.0, math.log2(c))) for g, c in often.items() for t in [bears(g)]]
     step = max(1, -(-len(all_rows) // rows))
     seen = Counter(x for g, c in often.items() for x in g for _ in range(min(c, LEAST)))
     seen.update({x: LEAST for x in pure})
     place = {x: i for i, x in enumerate(sorted(x for x, c in seen.items() if c >= LEAST))}
     narrow = lambda rs: [([place[x] for x in g if x in place], t, w) for g, t, w in rs]
     sure, held, all_rows = narrow(sure), narrow(held), narrow(all_rows)
-    model = Subjects(names, place).fit([r for i, r in enumerate(sure) if i % 5] + all_rows[::step], epochs=4)
+    model = Subjects(names, place).fit([r for i, r in enumerate(sure) if i % 5] + all_rows[::step], epochs=max(4, min(40, 100_000 // (len(sure) + len(all_rows[::step]) + 1))))
     model.calibrate(held + all_rows[1::step][:5000] if step > 1 else held)
     return model
 
