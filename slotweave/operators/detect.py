@@ -1,4 +1,7 @@
-"""Label detection: 47 labels by regular expressions, and what is counted over them."""
+"""Label detection: 47 labels by regular expressions, and what is counted over them.
+
+Arrays that regular expressions make are taken apart by explode_outer and a filter behind it: for an inner explode the
+optimizer puts a filter on the array's size below the exchange, which runs all patterns once more and in few tasks."""
 
 import re
 
@@ -31,7 +34,7 @@ def prevalence(detected: DataFrame, by: str, least: float = 0.03) -> DataFrame:
     """(by, label, hits, prevalence) of the labels found in at least `least` of all texts of a group, blank ones included;
     the share is rounded to 4 places before it is compared."""
     n = detected.groupBy(by).agg(F.count("*").alias("n"))
-    hits = detected.select(by, F.explode("labels").alias("label")).groupBy(by, "label").agg(F.count("*").alias("hits"))
+    hits = detected.select(by, F.explode_outer("labels").alias("label")).where("label is not null").groupBy(by, "label").agg(F.count("*").alias("hits"))
     return hits.join(n, by).withColumn("prevalence", F.round(F.col("hits") / F.col("n"), 4)).where(F.col("prevalence") >= least).drop("n")
 
 
@@ -51,7 +54,7 @@ def constraint_hits(df: DataFrame, text: str) -> DataFrame:
         )
         for i, (p, level, label) in enumerate(V.CONSTRAINTS)
     ])
-    return spread(df).withColumn("hit", F.explode(F.filter(hits, lambda h: h["snippet"] != ""))).select(
+    return spread(df).withColumn("hit", F.explode_outer(F.filter(hits, lambda h: h["snippet"] != ""))).where("hit is not null").select(
         *[c for c in df.columns if c != text], "hit.idx", "hit.level", "hit.label", F.substring("hit.snippet", 1, 200).alias("snippet")
     )
 
@@ -65,7 +68,7 @@ def verb_phrases(df: DataFrame, text: str) -> DataFrame:
     p = F.lit("(?i)" + VERB_PHRASE)
     pairs = F.arrays_zip(F.regexp_extract_all(text, p, F.lit(1)).alias("v"), F.regexp_extract_all(text, p, F.lit(2)).alias("p"))
     canon = F.create_map(*[F.lit(x) for kv in VERB_OF.items() for x in kv])
-    return spread(df).select(*[c for c in df.columns if c != text], F.posexplode(pairs).alias("pos", "x")).select(
+    return spread(df).select(*[c for c in df.columns if c != text], F.posexplode_outer(pairs).alias("pos", "x")).where("pos is not null").select(
         *[c for c in df.columns if c != text], "pos", F.lower("x.v").alias("verb"), F.lower(F.regexp_replace("x.p", r"^\s+|\s+$", "")).alias("phrase"),
         F.element_at(canon, F.lower("x.v")).alias("canon"),
     )
@@ -100,6 +103,6 @@ def categories(df: DataFrame, column: str) -> DataFrame:
 
 def suggest(detected: DataFrame, key: str, text: str) -> DataFrame:
     """(key, label, score): 2 for a label whose pattern is found, 1 more for each verb phrase whose verb names a label."""
-    a = detected.select(key, F.explode("labels").alias("label"), F.lit(2).alias("s"))
+    a = detected.select(key, F.explode_outer("labels").alias("label"), F.lit(2).alias("s")).where("label is not null")
     b = verb_phrases(detected.select(key, text), text).select(key, F.col("canon").alias("label"), F.lit(1).alias("s"))
     return a.unionByName(b).groupBy(key, "label").agg(F.sum("s").alias("score"))

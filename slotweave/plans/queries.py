@@ -81,7 +81,7 @@ def level_remap(s, d):
 
 @_query
 def detect_labels(s, d):
-    return detect.detect(_t(s, d).select("template_seq", "text"), "text").select("template_seq", F.explode("labels").alias("label"))
+    return detect.detect(_t(s, d).select("template_seq", "text"), "text").select("template_seq", F.explode_outer("labels").alias("label")).where("label is not null")
 
 
 @_query

@@ -170,3 +170,4 @@ def test_backends(spark):
     assert got == {1: "A B", 2: "", 3: "A B"}
     assert backends.embedded(df, "prompt", backends.HashEmbedder).where("embedding is not null").count() == 2
     assert [m["role"] for m in df.select(backends.messages("s", [("u", "a")], "prompt").alias("m")).first()["m"]] == ["system", "user", "assistant", "user"]
+
