@@ -87,5 +87,5 @@ def packed_options(options: DataFrame, entries: list[tuple[int, str, list[str]]]
     rows = named(options.select("option_seq", "slot", "value").where("trim(value) <> '' and trim(slot) <> ''"), "slot", entries, "slot_id")
     rows = rows.where(F.col("slot_id").isin(list_like)).select("option_seq", "value")
     rows = cut(rows)
-    items = split_packed(rows.select("value")).where(F.size("items") > 1)
+    items = cut(split_packed(rows.select("value")).where(F.size("items") > 1))
     return salted_join(rows, items, ["value"], "n", F.col("option_seq")).select("option_seq", F.posexplode("items").alias("p", "item_text")).select("option_seq", (F.col("p") + 1).cast("int").alias("item_pos"), "item_text")
