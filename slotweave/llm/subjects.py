@@ -9,6 +9,7 @@ Null and blank texts, and texts without a subject, give no row; texts are read t
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -45,8 +46,6 @@ FIT_DOCUMENTS = 6_000
 
 
 def _slot(gram: str) -> int:
-    import zlib
-
     return zlib.crc32(gram.encode()) & ((1 << BITS) - 1)
 
 
@@ -64,15 +63,19 @@ class Grams:
     def __call__(self, sentence: str) -> list[int]:
         w = _WORD.findall(sentence.casefold())
         known, out = self.known, []
+        rows = self.rows
         if len(known) > 1_000_000:
             known.clear()
         for g in (*w, *map(" ".join, zip(w, w[1:]))):
             h = known.get(g)
             if h is None:
                 h = _slot(g)
-                h = known[g] = h if self.rows is None else self.rows.get(h, -1)
-            if h >= 0:
-                out.append(h)
+                if rows is not None:
+                    h = rows.get(h)
+                    if h is None:  # names and chance neighbours: too many to be kept
+                        continue
+                known[g] = h
+            out.append(h)
         return list(dict.fromkeys(out))
 
 
@@ -113,6 +116,21 @@ class Subjects:
         k = int(np.argmax(p))
         return k if p[k] >= self.least[k] else -1
 
+    def bearing_all(self, rows: list[list[int]]) -> np.ndarray:
+        """bearing() of many sentences at once."""
+        out = np.full(len(rows), -1, dtype=np.int64)
+        size = np.array([len(r) for r in rows])
+        some = np.flatnonzero(size)
+        for at in np.array_split(some, max(1, len(some) // 20_000)):
+            if not len(at):
+                continue
+            flat = np.fromiter((x for i in at for x in rows[i]), dtype=np.int64, count=int(size[at].sum()))
+            z = np.add.reduceat(self.weights[flat], np.r_[0, np.cumsum(size[at])[:-1]], axis=0) + self.bias
+            k = z.argmax(1)
+            p = 1 / (1 + np.exp(-z[np.arange(len(at)), k]))
+            out[at] = np.where(p >= self.least[k], k, -1)
+        return out
+
     def calibrate(self, rows: list[tuple[list[int], np.ndarray, float]], wanted: float = 0.95) -> None:
         """For each subject the least probability at which, on held-out rows, `wanted` of the sentences so marked are right."""
         p = np.array([self.scores(at) for at, _, _ in rows])
@@ -226,22 +244,22 @@ def mark_subjects(documents: DataFrame, examples: list[tuple[str, str]], names:
         m, known = opened(shared), {}
         grams = Grams(m.rows)
         for b in batches:
+            said = [sentences(t) for t in b["text"]]
+            new = list({s for ss in said for s in ss if s not in known})
+            fresh = dict(zip(new, m.bearing_all([grams(s) for s in new]).tolist()))
             rows = []
-            for doc, text in zip(b["doc_id"], b["text"]):
+            for doc, ss in zip(b["doc_id"], said):
                 count: dict[int, int] = {}
-                said = sentences(text)
-                for s in said:
-                    k = known.get(s)
-                    if k is None:
-                        if len(known) > 200_000:
-                            known.clear()
-                        k = known[s] = m.bearing(grams(s))
+                for s in ss:
+                    k = known[s] if s in known else fresh[s]
                     if k >= 0:
                         count[k] = count.get(k, 0) + 1
                 n = sum(count.values())
-                if n < PASSING * len(said):
+                if n < PASSING * len(ss):
                     continue
                 rows.extend((doc, m.names[k], c, c / n) for k, c in count.items() if c >= least_share * n)
+            if len(known) < 50_000:
+                known.update(fresh)
             yield pd.DataFrame(rows, columns=["doc_id", "subject", "sentences", "held"])
 
     return documents.mapInPandas(run, "doc_id long, subject string, sentences int, held double")
