@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from slotweave.operators.skew import salted_join
 from slotweave.session import cut, ensure_checkpoint_dir
 
-#: A label: one to four words before a colon or an equals sign, at the start of the text or after a separator.
-_LABEL = r"(?:^[^\p{L}\p{N}]*|[\n\r;|,][^\p{L}\p{N}\n\r]*)(\p{L}[\p{L}\p{N}'_-]*(?:[ \x{a0}\t]+[\p{L}\p{N}'_-]+){0,3})[ \x{a0}\t]*(?:[:=]|[-–](?=[ \x{a0}\t]))"
+#: A label: one to four words, in quotes or not, before a colon, an equals sign or a dash, at the start of the text or after a separator.
+_LABEL = r"""(?:^[^\p{L}\p{N}]*|[\n\r;|,][^\p{L}\p{N}\n\r]*)(\p{L}[\p{L}\p{N}'_-]*(?:[ \x{a0}\t]+[\p{L}\p{N}'_-]+){0,3})["'”»*_`]*[ \x{a0}\t]*(?:[:=]|[-–](?=[ \x{a0}\t]))"""
 BUCKETS = 1024
 
 
