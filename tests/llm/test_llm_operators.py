@@ -57,6 +57,7 @@ def _records(spark, rows):
 TEXTS = [
     "Name: Ann; Age: 5; Home: Ulm", "home = ulm, age = 5, name = ann", "Name: 5; Age: Ann; Home: Ulm", "NAME: ann\nAGE: 5\nHOME: Ulm!", "name ann age 5 home ulm",
     "Say it, again.", "say it again", "say again it", None, "", " ", "…", " … ", "!!", LONG, LONG.upper(), "café ​bar", "CAFÉ bar",
+    '{"age": "5", "home": "Ulm", "name": "Ann"}',
 ]
 GROUPS = [{0, 1, 3, 4, 18}, {2}, {5, 6}, {7}, {11, 12}, {13}, {14, 15}, {16, 17}]
 
