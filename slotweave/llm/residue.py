@@ -41,6 +41,7 @@ OPEN_SIGNS = re.compile(
     re.I,
 )
 _SLOT = re.compile(r"\{\s*\w+\s*\}")
+_LISTED = re.compile("[\"'`|;]")
 _NULLS = {"nan", "none", "null", "undefined", "nil"}
 #: Rows that the model is fitted on at most.
 FIT_ROWS = 8_000
@@ -52,7 +53,7 @@ def _kind(sign: str) -> str:
         return "null"
     if re.search(r"[\"'`|,;:=]", low):
         return f"{low[:2]}list"
-    return re.sub(r"\w+", "w", re.sub(r"\s+", "", low))
+    return re.sub(r"[^\W_]+", "w", re.sub(r"\s+", "", low))
 
 
 def sentences(text: str) -> list[str]:
@@ -65,10 +66,11 @@ def sentence_features(sentence: str) -> tuple[str, ...]:
 
 
 def signs(text: str, template: bool) -> Iterator[tuple[str, tuple[str, ...]]]:
-    """Each possible placeholder and its features. In templates a plain {slot} is none."""
+    """Each possible placeholder and its features. In templates a plain {slot} is none; nor is, anywhere, what holds quoted
+    or listed content."""
     for m in _SIGN.finditer(text):
         sign = m.group()
-        if template and _SLOT.fullmatch(sign):
+        if template and _SLOT.fullmatch(sign) or _LISTED.search(sign):
             continue
         left, right = text[max(0, m.start() - 60) : m.start()], text[m.end() : m.end() + 60]
         before, after = _WORD.findall(left.casefold())[-2:], _WORD.findall(right.casefold())[:3]
