@@ -264,9 +264,7 @@ def first_fill(s, d):
 
 
 def _filled(s, d):
-    # Names and numbers left out, so that templates of one wording can collide.
-    f = store.first_fill(_t(s, d), _o(s, d))
-    return f.withColumn("filled", F.regexp_replace(F.lower("filled"), "[0-9]+", "0")).withColumn("filled", F.substring("filled", 1, 24))
+    return store.first_fill(_t(s, d), _o(s, d))
 
 
 @_query
