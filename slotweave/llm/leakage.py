@@ -141,7 +141,8 @@ def can_hold(passage: np.ndarray, special: np.ndarray, least: int, document: np.
 
 def held_part(passage: list[str], special: list[bool], document: list[str], at: list[int]) -> float:
     """The part of the passage that lies in the document around the hits, in order, in at most two pieces. A piece has
-    few changed words, and few of its names and figures are among them."""
+    few changed words, and few of its names and figures are among them. No piece has a least length, but one under
+    eight words is stock wording if it has no name or figure, and counts only in the document's order."""
     n = len(passage)
     spans: list[list[int]] = []
     for p in sorted(at):
@@ -149,7 +150,7 @@ def held_part(passage: list[str], special: list[bool], document: list[str], at:
             spans[-1][1] = p
         else:
             spans.append([p, p])
-    best: list[tuple[int, int, int]] = []
+    best: list[tuple[int, int, int, int, int, int]] = []
     for a, b in spans:
         lo, hi = max(0, a - n), min(len(document), b + K + n)
         blocks = [m for m in SequenceMatcher(None, document[lo:hi], passage, autojunk=False).get_matching_blocks() if m.size >= 2]
@@ -167,12 +168,13 @@ def held_part(passage: list[str], special: list[bool], document: list[str], at:
             wide = p[-1].b + p[-1].size - p[0].b
             own = sum(special[p[0].b : p[-1].b + p[-1].size])
             kept = sum(sum(special[m.b : m.b + m.size]) for m in p)
-            if held >= 8 and held >= 0.75 * wide and kept >= 0.75 * own:
-                best.append((p[0].b, p[-1].b + p[-1].size, wide))
+            if (held >= 8 or own) and held >= 0.75 * wide and kept >= 0.75 * own:
+                best.append((p[0].b, p[-1].b + p[-1].size, wide, held, lo + p[0].a, lo + p[-1].a + p[-1].size))
     best.sort()
-    most = max((w for _, _, w in best), default=0)
-    for i, (_, end, w) in enumerate(best):
-        most = max([most, *(w + v for b, _, v in best[i + 1 :] if b >= end)])
+    few = min(8, n)  # a quotation of a few words is no case
+    most = max((w for _, _, w, held, *_ in best if held >= few), default=0)
+    for i, (_, end, w, held, _, stop) in enumerate(best):
+        most = max([most, *(w + v for b, _, v, h, a, _ in best[i + 1 :] if b >= end and held + h >= few and (min(held, h) >= 8 or a >= stop))])
     return most / n if n else 0.0
 
 
