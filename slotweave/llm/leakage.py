@@ -1,8 +1,10 @@
-"""Evaluation passages inside documents: winnowed fingerprints, joined and extended.
+"""Evaluation passages inside documents: shared pairs of words, joined and extended.
 
 Both sides are reduced to plain words (case, punctuation, entities, invisible signs and look-alike letters do not count).
-Of every window of WINDOW consecutive k-grams of K words the one with the least hash is kept, so that any span of
-K + WINDOW - 1 = 6 equal words shares a fingerprint. Hits are extended by aligning the words around them.
+A passage is a candidate
+if the pairs of words that it shares with the document, near each other in one place or in two, cover what a leak must:
+an exact bound, however many passages share the wording. Candidates are aligned around those pairs. grams and winnow keep
+of every window of WINDOW consecutive k-grams of K words the one with the least hash.
 
 Null and blank texts hold nothing; documents are read to their end; repeated documents each give their own rows."""
 
@@ -53,12 +55,12 @@ class Hasher:
         return np.array(out, dtype=np.uint64)
 
 
-def grams(codes: np.ndarray) -> np.ndarray:
-    if len(codes) < K:
+def grams(codes: np.ndarray, k: int = K) -> np.ndarray:
+    if len(codes) < k:
         return np.empty(0, dtype=np.uint64)
-    n = len(codes) - K + 1
+    n = len(codes) - k + 1
     h = np.zeros(n, dtype=np.uint64)
-    for i in range(K):
+    for i in range(k):
         h = (h * np.uint64(0x9E3779B97F4A7C15)) ^ (codes[i : i + n] + (h >> np.uint64(29)))
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -75,40 +77,59 @@ def winnow(hashes: np.ndarray) -> np.ndarray:
 
 
 class Fingerprints:
-    """The winnowed k-grams of all passages, ready to be looked up."""
+    """The pairs of words of all passages, ready to be looked up."""
 
     def __init__(self, passages: list[tuple[int, str]]):
         hasher = Hasher()
         self.words = {k: plain_words(p) for k, p in passages}
-        pairs = sorted((int(h), k) for k, w in self.words.items() for g in [grams(hasher.codes(w))] for h in {*g[winnow(g)].tolist()})
-        self.hashes = np.array([h for h, _ in pairs], dtype=np.uint64)
-        self.items = [k for _, k in pairs]
         seen: dict[str, int] = {}
         for w in self.words.values():
             for x in set(w):
                 seen[x] = seen.get(x, 0) + 1
         #: Names and figures: what tells a passage from another one in the same manner of wording.
         self.special = {k: [x.isdigit() or seen[x] <= max(2, len(self.words) // 50) for x in w] for k, w in self.words.items()}
-        self.codes = {k: hasher.codes(w) for k, w in self.words.items()}
-        self.least = {k: _least_special(x) for k, x in self.special.items()}
-        spread: dict[int, int] = {}
-        for h, _ in pairs:
-            spread[h] = spread.get(h, 0) + 1
-        self.rare = np.array([spread[h] <= max(3, len(self.words) // 100) for h, _ in pairs], dtype=bool)
-
-    def hits(self, codes: np.ndarray) -> dict[int, list[int]]:
-        """item -> where in the document its fingerprints lie. Wording that many items share proposes no item by itself;
-        a span of two fifths of a passage also holds k-grams of its own."""
-        g = grams(codes)
-        at = winnow(g)
-        if not len(at) or not len(self.hashes):
+        self.items = list(self.words)
+        self.size = np.array([len(w) for w in self.words.values()], dtype=np.int64)
+        self.least = np.array([_least_special(x) for x in self.special.values()], dtype=np.int64)
+        # All passages one after the other: whose each word is, and whether it is special.
+        self.owner = np.repeat(np.arange(len(self.items)), self.size)
+        self.marked = np.array([x for s in self.special.values() for x in s], dtype=bool)
+        codes = hasher.codes([x for w in self.words.values() for x in w])
+        at = np.flatnonzero(self.owner[:-1] == self.owner[1:])
+        hashes = grams(codes, 2)[at] if len(at) else np.empty(0, dtype=np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.at = hashes[order], at[order]
+
+    def candidates(self, codes: np.ndarray, part: float = 0.4) -> dict[int, list[int]]:
+        """item -> where in the document pairs of its words lie, of the items that held_part may give `part` or more: what
+        it counts lies in runs of two equal words or more, which make up 0.75 of its pieces and hold 0.75 of their names
+        and figures; a piece has no gap of more than four words."""
+        g = grams(codes, 2)
+        low, high = np.searchsorted(self.hashes, g), np.searchsorted(self.hashes, g, side="right")
+        k = high - low
+        total = int(k.sum())
+        if not total:
             return {}
-        low, high = np.searchsorted(self.hashes, g[at]), np.searchsorted(self.hashes, g[at], side="right")
+        place = np.repeat(np.arange(len(g)), k)
+        at = self.at[np.repeat(low - np.r_[0, np.cumsum(k)[:-1]], k) + np.arange(total)]
+        covered = np.unique(np.r_[at, at + 1])
+        who, count = np.unique(self.owner[covered], return_counts=True)
+        marked = np.bincount(np.searchsorted(who, self.owner[covered]), weights=self.marked[covered], minlength=len(who))
         out: dict[int, list[int]] = {}
-        for p, a, b in zip(at[low < high], low[low < high], high[low < high]):
-            for i in range(a, b):
-                if self.rare[i]:
-                    out.setdefault(self.items[i], []).append(int(p))
+        owner, least = self.owner[at], 0.75 * self.least * (part >= 0.4)
+        for i in who[(count >= 0.75 * part * self.size[who]) & (marked >= least[who])]:
+            mine = owner == i
+            p, q = place[mine], at[mine]
+            segment = np.r_[0, np.cumsum(np.diff(p) > 6)]
+            key = np.unique(np.r_[segment * len(self.owner) + q, segment * len(self.owner) + q + 1])
+            held = np.bincount(key // len(self.owner))
+            if len(held) > 1:
+                top = np.partition(held, -2)[-2:]
+                held += np.where(held == top[1], top[0] if top[0] < top[1] else top[1], top[1])
+            fits = held >= 0.75 * part * self.size[i]  # with the best other one
+            key = np.unique(key[fits[key // len(self.owner)]] % len(self.owner))
+            if len(key) and self.marked[key].sum() >= least[i]:
+                out[self.items[i]] = np.unique(p[fits[segment]]).tolist()
         return out
 
 
@@ -120,25 +141,6 @@ def _least_special(special: list[bool], part: float = 0.4) -> int:
     return min((fewest[k] + fewest[size - k] for k in range(size + 1)), default=0)
 
 
-def can_hold(passage: np.ndarray, special: np.ndarray, least: int, document: np.ndarray, at: list[int], part: float = 0.4) -> bool:
-    """False where held_part is surely below `part`: what it counts lies in runs of two equal words or more, which make up
-    0.75 of the pieces and hold 0.75 of their names and figures."""
-    n = len(passage)
-    covered = np.zeros(n, dtype=bool)
-    spans: list[list[int]] = []
-    for p in sorted(at):
-        if spans and p - spans[-1][1] <= n:
-            spans[-1][1] = p
-        else:
-            spans.append([p, p])
-    for a, b in spans:
-        equal = passage[:, None] == document[None, max(0, a - n) : b + K + n]
-        runs = (equal[:-1, :-1] & equal[1:, 1:]).any(axis=1)
-        covered[:-1] |= runs
-        covered[1:] |= runs
-    return covered.sum() >= 0.75 * part * n and (covered & special).sum() >= 0.75 * least
-
-
 def held_part(passage: list[str], special: list[bool], document: list[str], at: list[int]) -> float:
     """The part of the passage that lies in the document around the hits, in order, in at most two pieces. A piece has
     few changed words, and few of its names and figures are among them. No piece has a least length, but one under
@@ -180,7 +182,7 @@ def held_part(passage: list[str], special: list[bool], document: list[str], at:
 
 def find_leaks(documents: DataFrame, items: DataFrame, least: float = 0.4, max_items: int = 200_000) -> DataFrame:
     """(doc_id, item_id, held): documents that hold at least `least` of an item's passage. documents: doc_id, text; items:
-    item_id, passage. The item table is a test set: its size is counted first, and up to max_items its fingerprints are
+    item_id, passage. The item table is a test set: its size is counted first, and up to max_items its pairs of words are
     broadcast and the documents stream past them without a shuffle; a larger one is taken in slices of max_items."""
     items = items.where("trim(passage) <> ''").select("item_id", "passage")
     total = items.count()
@@ -197,11 +199,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, least: float = 0.4, max_i
                 for doc, text in zip(b["doc_id"], b["text"]):
                     words = plain_words(text)
                     codes = hasher.codes(words)
-                    for item, at in prints.hits(codes).items():
-                        if len(at) < 2:  # an edit inside the least passage still leaves two
-                            continue
-                        if least >= 0.4 and not can_hold(prints.codes[item], np.array(prints.special[item]), prints.least[item], codes, at):
-                            continue
+                    for item, at in prints.candidates(codes, min(least, 0.4)).items():
                         held = held_part(prints.words[item], prints.special[item], words, at)
                         if held >= least:
                             rows.append((doc, item, held))

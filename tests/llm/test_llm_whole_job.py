@@ -23,3 +23,9 @@ def test_leaks_in_short_pieces(spark):
         " ".join(w[:19]) + other + "and the bell",
     ]
     assert _leaks(spark, docs, [(1, PASSAGE)]) == {(0, 1), (1, 1)}
+
+
+def test_leaks_of_passages_that_many_items_share(spark):
+    w = PASSAGE.split()
+    docs = [" ".join(w[:24]), " ".join(x if i % 6 else "other" for i, x in enumerate(w)), "the ledger of week 52 named"]
+    assert _leaks(spark, docs, [(i, PASSAGE) for i in range(6)] + [(6, "Quite another text about the price of wool in the north and of all that came of it later on.")]) == {(d, i) for d in (0, 1) for i in range(6)}
