@@ -93,6 +93,10 @@ def _open(sign: str, features: tuple[str, ...]) -> bool:
     return bool(spaced) and bool(re.fullmatch(r"\$?\{\w[\w.]*\}", sign))
 
 
+def has_trusted(text: str, template: bool) -> bool:
+    return any(_open(sign, f) for sign, f in signs(text, template)) or any(TRUSTED.search(s) for s in sentences(text))
+
+
 class Bayes:
     """Log-odds of features, kept for those seen at least `least` times; fitted to positives and unlabelled passages."""
 
@@ -178,10 +182,17 @@ def fit_sample(texts: DataFrame, rows: int = FIT_ROWS, wide: int = 10) -> tuple[
     trusted passage (again at most `rows`); how many records one of the former stands for, as against the latter."""
     total = texts.count()
     place = F.pmod(F.xxhash64("record_key", "record_kind"), F.lit(max(1, -(-total // rows))))
-    known = F.col("text").rlike("(?i)" + TRUSTED.pattern) | F.col("text").rlike(r"\[\[|\{[{%]|<<|@@|#\{|__|XXX|\[object|NaN|(?i)[\[<(](?:your|insert|enter|add|fill in|todo|placeholder)\b")
+    # Every text that may hold a trusted passage: signs that _open trusts have one of these characters or words.
+    known = F.col("text").rlike("(?i)" + TRUSTED.pattern) | F.col("text").rlike(r"[\[{<@_(]|XXX|(?i)nan")
     shape = lambda df: [(r["text"], r["record_kind"] == "template") for r in df.select("text", "record_kind").collect()]
     few = shape(texts.where(place == 0).limit(rows + rows // 4))
-    sure = shape(texts.where(place.between(1, wide - 1) & known).limit(rows))
+
+    def trusted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[[has_trusted(x, k == "template") for x, k in zip(b["text"], b["record_kind"])]]
+
+    held = texts.where(place.between(1, wide - 1) & known).select("text", "record_kind").mapInPandas(trusted, "text string, record_kind string")
+    sure = shape(held.limit(rows))
     return few, sure, max(1, min(wide, -(-total // rows)))
 
 

@@ -1,6 +1,8 @@
 """The llm operators do the whole job: nothing is cut by length, rarity or table size."""
 
-from slotweave.llm import leakage
+import pytest
+
+from slotweave.llm import leakage, residue
 
 PASSAGE = (
     "On day 14 Marla of Quell counted 39 herons by the old mill, and 17 of them stood in the shallow ford until Orvik rang the bell at 6. "
@@ -29,3 +31,12 @@ def test_leaks_of_passages_that_many_items_share(spark):
     w = PASSAGE.split()
     docs = [" ".join(w[:24]), " ".join(x if i % 6 else "other" for i, x in enumerate(w)), "the ledger of week 52 named"]
     assert _leaks(spark, docs, [(i, PASSAGE) for i in range(6)] + [(6, "Quite another text about the price of wool in the north and of all that came of it later on.")]) == {(d, i) for d in (0, 1) for i in range(6)}
+
+
+@pytest.mark.parametrize("sign", ["{name}", "${name}", "[date tbd]", "[name here]", "(address goes here)", "<x_here>", "[[ name ]]", "[your name]"])
+def test_all_trusted_kinds_are_topped_up(spark, sign):
+    bad = f"Write to {sign} today."
+    assert residue.has_trusted(bad, False) and not residue.has_trusted("Write to [them] today (soon).", False)
+    df = spark.createDataFrame([("prompt", i, bad if i % 2 else "Write to [them] today (soon).") for i in range(400)], "record_kind string, record_key long, text string")
+    few, sure, weight = residue.fit_sample(df, 40)
+    assert weight == 10 and {t for t, _ in sure} == {bad} and len(sure) == 40
