@@ -108,13 +108,11 @@ def generate(templates: DataFrame, options: DataFrame, n: int, density: int = 3,
     )
 
 
-def generate_exact(templates: DataFrame, options: DataFrame, n: int = 1000, density: int = 3, seed: int = 42, max_templates: int = 20_000) -> DataFrame:
+def generate_exact(templates: DataFrame, options: DataFrame, n: int = 1000, density: int = 3, seed: int = 42) -> DataFrame:
     """The sequential policy itself, in one task: templates drawn with weight 1 / (1 + usage of their label), at most two
-    constraints a level, distinct labels. Meant for n up to about 100,000; it works on the max_templates first templates
-    and up to 20 values a slot, both parameters of this mode."""
-    t = templates.where(~X.blank("text")).groupBy("id").agg(F.min_by(F.struct("text", "task_type", "level", "template_seq"), "template_seq").alias("r")).select("id", "r.*").orderBy("template_seq").limit(max_templates)
-    r = F.row_number().over(W.partitionBy("slot").orderBy("s"))
-    o = options.where(~X.blank("slot") & ~X.blank("value")).groupBy("slot", "value").agg(F.min("option_seq").alias("s")).withColumn("r", r).where("r <= 20")
+    constraints a level, distinct labels. All templates and all values of each slot take part, and that task holds them."""
+    t = templates.where(~X.blank("text")).groupBy("id").agg(F.min_by(F.struct("text", "task_type", "level", "template_seq"), "template_seq").alias("r")).select("id", "r.*")
+    o = options.where(~X.blank("slot") & ~X.blank("value")).groupBy("slot", "value").agg(F.min("option_seq").alias("s"))
     pools = o.groupBy("slot").agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "value"))), lambda x: x["value"]).alias("v"))
     both = t.select(F.lit(0).alias("g"), F.struct("id", "text", "task_type", "level").alias("t"), F.lit(None).cast("struct<slot:string,v:array<string>>").alias("o")).unionByName(
         pools.select(F.lit(0).alias("g"), F.lit(None).cast("struct<id:string,text:string,task_type:string,level:string>").alias("t"), F.struct("slot", "v").alias("o"))
@@ -128,27 +126,32 @@ def generate_exact(templates: DataFrame, options: DataFrame, n: int = 1000, dens
             rows += [x for x in b["t"] if x is not None]
             pool |= {x["slot"]: list(x["v"]) for x in b["o"] if x is not None}
         rows.sort(key=lambda x: x["id"])
-        rng, usage, out = np.random.default_rng(seed), {}, []
+        rng, out = np.random.default_rng(seed), []
         tasks = [x for x in rows if x["level"] == "task_type"]
         rules = [x for x in rows if x["level"] != "task_type"]
 
-        def draw(xs):
-            w = np.array([1 / (1 + usage.get(x["task_type"], 0)) for x in xs])
-            return xs[int(rng.choice(len(xs), p=w / w.sum()))]
+        labels, levels_of = {}, {}
+        code = lambda xs, c, known: np.array([known.setdefault(x[c], len(known)) for x in xs], dtype=np.int64)
+        task_label, rule_label, rule_level = code(tasks, "task_type", labels), code(rules, "task_type", labels), code(rules, "level", levels_of)
+        used = np.zeros(len(labels))
+
+        def draw(xs, at, label):
+            w = 1 / (1 + used[label[at]])
+            return xs[int(at[rng.choice(len(at), p=w / w.sum())])]
 
         for i in range(n if tasks else 0):
-            picked, levels = [draw(tasks)], {}
+            picked, levels = [draw(tasks, np.arange(len(tasks)), task_label)], np.zeros(len(levels_of), dtype=int)
             for _ in range(density - 1):
-                open_ = [x for x in rules if levels.get(x["level"], 0) < 2 and x["task_type"] not in {p["task_type"] for p in picked}]
-                if not open_:
+                at = np.flatnonzero((levels[rule_level] < 2) & ~np.isin(rule_label, [labels[p["task_type"]] for p in picked if p["task_type"] in labels]))
+                if not len(at):
                     break
-                x = draw(open_)
-                levels[x["level"]] = levels.get(x["level"], 0) + 1
+                x = draw(rules, at, rule_label)
+                levels[levels_of[x["level"]]] += 1
                 picked.append(x)
-            fill = lambda m: str(rng.choice(pool[m.group(1)])) if pool.get(m.group(1)) else "..."
+            fill = lambda m: pool[m.group(1)][int(rng.integers(len(pool[m.group(1)])))] if pool.get(m.group(1)) else "..."
             text = "\n".join(re.sub(X.PLACEHOLDER, fill, p["text"]) for p in picked).strip()
             for p in picked:
-                usage[p["task_type"]] = usage.get(p["task_type"], 0) + 1
+                used[labels[p["task_type"]]] += 1
             out.append((i, picked[0]["id"], [p["task_type"] or "" for p in picked], text, len(picked)))
         yield pd.DataFrame(out, columns=["prompt_no", "task_id", "active_labels", "prompt", "density"])
 

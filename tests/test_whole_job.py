@@ -1,5 +1,6 @@
 """Operators do the whole job: nothing is cut by length, rank or table size."""
 
+from slotweave.operators import generate
 from slotweave.plans import queries
 
 
@@ -21,3 +22,11 @@ def test_collisions_are_of_whole_texts(spark, tmp_path):
     )
     assert [tuple(r) for r in queries.queries()["same_type_collisions"](spark, d).select("first_id", "other_id").collect()] == [("a", "b")]
     assert [tuple(r) for r in queries.queries()["cross_type_collisions"](spark, d).select("first_id", "types", "slot_sets", "kind").collect()] == [("a", 2, 1, "merge")]
+
+
+def test_exact_generation_draws_from_all_templates_and_values(spark):
+    t = spark.range(20_100).selectExpr("id as template_seq", "concat('t', id) as id", "concat('Say {x} ', id) as text", "if(id < 20000, 'a', concat('late', id)) as task_type", "'task_type' as level")
+    o = spark.range(40).selectExpr("id as option_seq", "'x' as slot", "concat('v', id, 'v') as value")
+    rows = generate.generate_exact(t, o, 3_000, density=1).collect()
+    assert max(int(r["task_id"][1:]) for r in rows) >= 20_000
+    assert {r["prompt"].split()[1] for r in rows} == {f"v{i}v" for i in range(40)}
