@@ -18,10 +18,10 @@ def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return canonical.canonical(names, "name", read(spark, d, "slot_catalog")).where("slot_id = -1").groupBy("name").agg(F.count("*").alias("n"))
 
 
-def _copies(spark: SparkSession, d: str) -> list[DataFrame]:
+def _copies(spark: SparkSession, d: str) -> DataFrame:
     o = read(spark, d, "task_options").where(F.length("value") >= 60).select(F.lit("option").alias("record_kind"), F.col("option_seq").alias("seq"), F.col("value").alias("text"))
     t = read(spark, d, "task_templates").select(F.lit("template").alias("record_kind"), F.col("template_seq").alias("seq"), "text")
-    return [o, t]
+    return o.unionByName(t)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

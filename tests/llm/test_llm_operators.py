@@ -1,4 +1,5 @@
 import itertools
+import random
 import re
 from collections import Counter
 
@@ -63,19 +64,52 @@ GROUPS = [{0, 1, 3, 4, 18}, {2}, {5, 6}, {7}, {11, 12}, {13}, {14, 15}, {16, 17}
 
 
 def test_copies(spark):
-    got = {(r["keep_seq"], r["copy_seq"]) for r in ledger.find_copies([_records(spark, TEXTS)]).collect()}
+    got = {(r["keep_seq"], r["copy_seq"]) for r in ledger.find_copies(_records(spark, TEXTS), 3).collect()}
     assert got == {(min(g), x) for g in GROUPS for x in g - {min(g)}}
-    assert sorted(r["copies"] for r in ledger.collapsed([_records(spark, TEXTS)]).collect()) == sorted(map(len, GROUPS))
-    assert ledger.find_copies([_records(spark, [])]).count() == 0
+    assert sorted(r["copies"] for r in ledger.collapsed(_records(spark, TEXTS), 3).collect()) == sorted(map(len, GROUPS))
+    assert ledger.find_copies(_records(spark, [])).count() == 0
 
 
 def test_ledger_in_batches_is_the_same(spark, tmp_path):
-    book = ledger.Ledger(spark, str(tmp_path / "ledger"))
     all_ = _records(spark, TEXTS * 2)
     for part in (all_.where("seq % 3 = 1"), all_.where("seq % 3 = 0"), all_.where("seq % 3 = 2")):
-        book.add(part)
-    want = {(bytes(r["words"]), r["copies"], r["first_seq"]) for r in ledger.batch_counts(ledger.canonical_records(all_)).collect()}
-    assert {(bytes(r["words"]), r["copies"], r["first_seq"]) for r in book.read().collect()} == want
+        ledger.Ledger(spark, str(tmp_path / "ledger")).add(part)  # a new object each time, as after a restart
+    shape = lambda rows: {(bytes(r["words"]), bytes(r["parts"]), r["copies"], r["first_seq"]) for r in rows.collect()}
+    book = ledger.Ledger(spark, str(tmp_path / "ledger"))
+    want = shape(ledger.batch_counts(ledger.canonical_records(all_)))
+    assert book.version == 3 and shape(book.read()) == want
+    held = dict(book.held)
+    book.add(all_.where("seq = 0"))  # one key: only its bucket is written anew
+    assert book.version == 4 and {b for b, v in book.held.items() if v == 4} == {b for b in book.held if held.get(b) != book.held[b]} and list(book.held.values()).count(4) == 1
+    assert sum(r["copies"] for r in book.read().collect()) == sum(c for _, _, c, _ in want) + 1
+
+
+def test_restarted_ledger_keeps_counts(spark, tmp_path):
+    for i in (7, 3):
+        ledger.Ledger(spark, str(tmp_path / "l")).add(_records(spark, TEXTS[:1]).withColumn("seq", F.lit(i).cast("long")))
+    (r,) = ledger.Ledger(spark, str(tmp_path / "l")).read().collect()
+    assert (r["copies"], r["first_seq"]) == (2, 3)
+
+
+def test_groups_join_over_words_and_parts(spark):
+    rows = ["name: ann lee, age: nine", "age: nine, name: ann lee", "name: ann, lee age: nine", "lee age: nine, name: ann", "name ann lee age nine"]
+    assert {(r["keep_seq"], r["copy_seq"]) for r in ledger.find_copies(_records(spark, rows)).collect()} == {(0, 1), (0, 2), (0, 3), (0, 4)}
+
+
+def test_roots_are_components(spark):
+    rng = random.Random(5)
+    edges = {(f"g{g}", rng.randrange(7), rng.randrange(7)) for g in range(30) for _ in range(rng.randrange(1, 12))}
+    df = spark.createDataFrame([(g, bytes([w]) * 16, bytes([100 + p]) * 16, 1, 1) for g, w, p in edges], "record_kind string, words binary, parts binary, copies long, first_seq long")
+    of = {x: {x} for g, w, p in edges for x in ((g, "w", w), (g, "p", p))}
+    for g, w, p in edges:
+        both = of[g, "w", w] | of[g, "p", p]
+        for x in both:
+            of[x] = both
+    got = {(r["record_kind"], r["words"][0]): bytes(r["root"]) for r in ledger.roots(df).collect()}
+    for g, a in got:
+        for h, b in got:
+            if g == h:
+                assert (got[g, a] == got[h, b]) == ((h, "w", b) in of[g, "w", a])
 
 
 # 4 pairs
@@ -217,7 +251,7 @@ def test_leaks(spark):
     assert leakage.find_leaks(d.limit(0), i).count() == 0 and leakage.find_leaks(d, i.limit(0)).count() == 0
 
 
-@given(st.lists(st.integers(0, 40), min_size=8, max_size=40), st.lists(st.integers(41, 90), max_size=20), st.lists(st.integers(41, 90), max_size=20))
+@given(st.lists(st.integers(0, 40), min_size=leakage.K + leakage.WINDOW - 1, max_size=40), st.lists(st.integers(41, 90), max_size=20), st.lists(st.integers(41, 90), max_size=20))
 @settings(max_examples=60, deadline=None)
 def test_shared_spans_share_fingerprints(span, a, b):
     import numpy as np
