@@ -1,10 +1,10 @@
-"""Evaluation passages inside documents: shared pairs of words, joined and extended.
+"""Evaluation passages inside documents: winnowed fingerprints, joined and extended.
 
 Both sides are reduced to plain words (case, punctuation, entities, invisible signs and look-alike letters do not count).
-A passage is a candidate
-if the pairs of words that it shares with the document, near each other in one place or in two, cover what a leak must:
-an exact bound, however many passages share the wording. Candidates are aligned around those pairs. grams and winnow keep
-of every window of WINDOW consecutive k-grams of K words the one with the least hash.
+Of every window of WINDOW consecutive k-grams of K words the one with the least hash is kept, on both sides, so every
+shared span of K + WINDOW - 1 words shares a fingerprint, however many passages share it. A passage that shares one is a
+candidate; an exact bound discards those whose equal pairs of words can't cover what a leak must; the others are extended
+around their hits. Equal passages are aligned once for all their items.
 
 Null and blank texts hold nothing; documents are read to their end; repeated documents each give their own rows."""
 
@@ -12,16 +12,16 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotweave.session import opened, share
+from slotweave.operators.skew import salted_join
+from slotweave.session import cut, opened, share
 
-K, WINDOW = 3, 4
+K, WINDOW = 3, 2
 #: Cyrillic and Greek letters that look like Latin ones.
 LOOK_ALIKES = str.maketrans("аеорсухіјѕԁһոӏгвкмнтАВЕКМНОРСТУХІЈЅοανικερτυχ", "aeopcyxijsdhnlrbkmhtABEKMHOPCTYXIJSoavikeptux")
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
@@ -77,62 +77,104 @@ def winnow(hashes: np.ndarray) -> np.ndarray:
 
 
 class Fingerprints:
-    """The pairs of words of all passages, ready to be looked up."""
+    """The fingerprints and pairs of words of distinct passages, ready to be looked up. usual: the words that are no names,
+    as usual_words gives them for all passages."""
 
-    def __init__(self, passages: list[tuple[int, str]]):
+    def __init__(self, passages: list[tuple[int, str]], usual: frozenset[str]):
         hasher = Hasher()
-        self.words = {k: plain_words(p) for k, p in passages}
-        seen: dict[str, int] = {}
-        for w in self.words.values():
-            for x in set(w):
-                seen[x] = seen.get(x, 0) + 1
+        same: dict[tuple[str, ...], list[int]] = {}
+        for k, p in passages:
+            if w := plain_words(p):
+                same.setdefault(tuple(w), []).append(k)
+        self.words = [list(w) for w in same]
+        #: The items of each distinct passage.
+        self.items = list(same.values())
         #: Names and figures: what tells a passage from another one in the same manner of wording.
-        self.special = {k: [x.isdigit() or seen[x] <= max(2, len(self.words) // 50) for x in w] for k, w in self.words.items()}
-        self.items = list(self.words)
-        self.size = np.array([len(w) for w in self.words.values()], dtype=np.int64)
-        self.least = np.array([_least_special(x) for x in self.special.values()], dtype=np.int64)
+        self.special = [[x.isdigit() or x not in usual for x in w] for w in self.words]
+        self.size = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.least = np.array([_least_special(x) for x in self.special], dtype=np.int64)
         # All passages one after the other: whose each word is, and whether it is special.
-        self.owner = np.repeat(np.arange(len(self.items)), self.size)
-        self.marked = np.array([x for s in self.special.values() for x in s], dtype=bool)
-        codes = hasher.codes([x for w in self.words.values() for x in w])
+        self.owner = np.repeat(np.arange(len(self.words)), self.size)
+        self.marked = np.array([x for s in self.special for x in s], dtype=bool)
+        self.start = np.r_[0, np.cumsum(self.size)]
+        codes = hasher.codes([x for w in self.words for x in w])
         at = np.flatnonzero(self.owner[:-1] == self.owner[1:])
         hashes = grams(codes, 2)[at] if len(at) else np.empty(0, dtype=np.uint64)
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.at = hashes[order], at[order]
+        prints = [(g[winnow(g)], i) for i in range(len(self.words)) for g in [grams(codes[self.start[i] : self.start[i + 1]])]]
+        keys = np.concatenate([p for p, _ in prints]) if prints else np.empty(0, dtype=np.uint64)
+        whose = np.repeat([i for _, i in prints], [len(p) for p, _ in prints]).astype(np.int64)
+        # A passage of fewer than K words has no fingerprint: its pairs propose it.
+        order = np.argsort(keys, kind="stable")
+        self.prints, self.whose = keys[order], whose[order]
+        self.short = np.flatnonzero(self.size < K)
 
-    def candidates(self, codes: np.ndarray, part: float = 0.4) -> dict[int, list[int]]:
-        """item -> where in the document pairs of its words lie, of the items that held_part may give `part` or more: what
-        it counts lies in runs of two equal words or more, which make up 0.75 of its pieces and hold 0.75 of their names
-        and figures; a piece has no gap of more than four words."""
-        g = grams(codes, 2)
-        low, high = np.searchsorted(self.hashes, g), np.searchsorted(self.hashes, g, side="right")
-        k = high - low
-        total = int(k.sum())
-        if not total:
+    def proposed(self, codes: np.ndarray) -> np.ndarray:
+        """The passages that share a fingerprint with the document."""
+        g = grams(codes)
+        g = np.unique(g[winnow(g)])
+        at, _ = _ranges(self.prints, g)
+        return np.unique(np.r_[self.whose[at], self.short])
+
+    def candidates(self, codes: np.ndarray, part: float = 0.4) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """passage -> where in the document and in the passage its pairs of words lie, of the passages proposed that
+        held_part may give `part` or more: what it counts lies in runs of two equal words or more, which make up 0.75 of
+        its pieces and hold 0.75 of their names and figures; a piece has no gap of more than four words."""
+        who = self.proposed(codes)
+        if not len(who):
             return {}
-        place = np.repeat(np.arange(len(g)), k)
-        at = self.at[np.repeat(low - np.r_[0, np.cumsum(k)[:-1]], k) + np.arange(total)]
-        covered = np.unique(np.r_[at, at + 1])
-        who, count = np.unique(self.owner[covered], return_counts=True)
-        marked = np.bincount(np.searchsorted(who, self.owner[covered]), weights=self.marked[covered], minlength=len(who))
-        out: dict[int, list[int]] = {}
-        owner, least = self.owner[at], 0.75 * self.least * (part >= 0.4)
-        for i in who[(count >= 0.75 * part * self.size[who]) & (marked >= least[who])]:
-            mine = owner == i
-            p, q = place[mine], at[mine]
-            segment = np.r_[0, np.cumsum(np.diff(p) > 6)]
-            key = np.unique(np.r_[segment * len(self.owner) + q, segment * len(self.owner) + q + 1])
-            held = np.bincount(key // len(self.owner))
+        at, place = _ranges(self.hashes, grams(codes, 2))
+        at = self.at[at]
+        of = self.owner[at]
+        mine = _member(of, who)
+        at, place, of = at[mine], place[mine], of[mine]
+        covered = np.unique(np.concatenate((at, at + 1)))
+        whose = self.owner[covered]
+        first = np.flatnonzero(np.concatenate(([True], whose[1:] != whose[:-1]))) if len(whose) else whose
+        who, count = whose[first], np.diff(np.append(first, len(whose)))
+        marked = np.add.reduceat(self.marked[covered].astype(np.int64), first) if len(first) else first
+        least = 0.75 * self.least * (part >= 0.4)
+        keep = _member(of, who[(count >= 0.75 * part * self.size[who]) & (marked >= least[who])])
+        at, place = at[keep], place[keep]
+        order = np.lexsort((at, place, self.owner[at]))
+        at, place = at[order], place[order]
+        of = self.owner[at]
+        bounds = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True]))) if len(at) else []
+        out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            p, q = place[lo:hi], at[lo:hi]
+            i = int(self.owner[q[0]])
+            q = q - self.start[i]
+            n = int(self.size[i])
+            segment = np.concatenate(([0], np.cumsum(p[1:] - p[:-1] > 6)))
+            seen = np.zeros((segment[-1] + 1, n), dtype=bool)
+            seen[segment, q] = seen[segment, q + 1] = True
+            held = seen.sum(1)
             if len(held) > 1:
                 top = np.partition(held, -2)[-2:]
-                held += np.where(held == top[1], top[0] if top[0] < top[1] else top[1], top[1])
-            fits = held >= 0.75 * part * self.size[i]  # with the best other one
-            key = np.unique(key[fits[key // len(self.owner)]] % len(self.owner))
-            if len(key) and self.marked[key].sum() >= least[i]:
-                out[self.items[i]] = np.unique(p[fits[segment]]).tolist()
+                held = held + np.where(held == top[1], top[0] if top[0] < top[1] else top[1], top[1])
+            fits = held >= 0.75 * part * n  # with the best other one
+            if fits.any() and self.marked[self.start[i] : self.start[i] + n][seen[fits].any(0)].sum() >= least[i]:
+                of = fits[segment]
+                out[i] = (p[of], q[of])
         return out
 
 
+def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which values are among the given sorted ones."""
+    if not len(among):
+        return np.zeros(len(values), dtype=bool)
+    return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
+
+
+def _ranges(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every (place in the sorted keys, place in asked) of equal values."""
+    low, high = np.searchsorted(keys, asked), np.searchsorted(keys, asked, side="right")
+    k = high - low
+    return np.repeat(low - np.r_[0, np.cumsum(k)[:-1]], k) + np.arange(int(k.sum())) if len(k) else low, np.repeat(np.arange(len(asked)), k)
+
+
 def _least_special(special: list[bool], part: float = 0.4) -> int:
     """How many of its names and figures the passage has at least in `part` of its words, in one span or in two."""
     n, size = len(special), int(-(-part * len(special) // 1))
@@ -141,37 +183,34 @@ def _least_special(special: list[bool], part: float = 0.4) -> int:
     return min((fewest[k] + fewest[size - k] for k in range(size + 1)), default=0)
 
 
-def held_part(passage: list[str], special: list[bool], document: list[str], at: list[int]) -> float:
-    """The part of the passage that lies in the document around the hits, in order, in at most two pieces. A piece has
-    few changed words, and few of its names and figures are among them. No piece has a least length, but one under
-    eight words is stock wording if it has no name or figure, and counts only in the document's order."""
-    n = len(passage)
-    spans: list[list[int]] = []
-    for p in sorted(at):
-        if spans and p - spans[-1][1] <= n:
-            spans[-1][1] = p
-        else:
-            spans.append([p, p])
+def held_part(special: list[bool], at: np.ndarray, to: np.ndarray) -> float:
+    """The part of the passage that lies in the document, in order, in at most two pieces. at and to: where in document and
+    passage equal pairs of words lie. Pairs in a row make runs; the runs near each other are chained to the longest text in
+    order, and that is taken apart into pieces where it has wide gaps. A piece has few changed words, and few of its names
+    and figures are among them. No piece has a least length, but one under eight words is stock wording if it has no name
+    or figure, and counts only in the document's order."""
+    n = len(special)
+    total = [0]
+    for x in special:
+        total.append(total[-1] + x)
     best: list[tuple[int, int, int, int, int, int]] = []
-    for a, b in spans:
-        lo, hi = max(0, a - n), min(len(document), b + K + n)
-        blocks = [m for m in SequenceMatcher(None, document[lo:hi], passage, autojunk=False).get_matching_blocks() if m.size >= 2]
-        pieces: list[list] = []
-        for m in blocks:
+    for near in _near(_runs(at, to), n):
+        pieces: list[list[tuple[int, int, int]]] = []
+        for a, b, size in _chained(near):
             if pieces:
-                last = pieces[-1][-1]
-                gap = max(m.a - last.a - last.size, m.b - last.b - last.size)
-                if gap <= 2 or (gap <= 4 and min(m.size, last.size) >= 4):
-                    pieces[-1].append(m)
+                x, y, last = pieces[-1][-1]
+                gap = max(a - x - last, b - y - last)
+                if gap <= 2 or (gap <= 4 and min(size, last) >= 4):
+                    pieces[-1].append((a, b, size))
                     continue
-            pieces.append([m])
+            pieces.append([(a, b, size)])
         for p in pieces:
-            held = sum(m.size for m in p)
-            wide = p[-1].b + p[-1].size - p[0].b
-            own = sum(special[p[0].b : p[-1].b + p[-1].size])
-            kept = sum(sum(special[m.b : m.b + m.size]) for m in p)
-            if (held >= 8 or own) and held >= 0.75 * wide and kept >= 0.75 * own:
-                best.append((p[0].b, p[-1].b + p[-1].size, wide, held, lo + p[0].a, lo + p[-1].a + p[-1].size))
+            held = sum(size for _, _, size in p)
+            begin, end = p[0][1], p[-1][1] + p[-1][2]
+            own = total[end] - total[begin]
+            kept = sum(total[b + size] - total[b] for _, b, size in p)
+            if (held >= 8 or own) and held >= 0.75 * (end - begin) and kept >= 0.75 * own:
+                best.append((begin, end, end - begin, held, p[0][0], p[-1][0] + p[-1][2]))
     best.sort()
     few = min(8, n)  # a quotation of a few words is no case
     most = max((w for _, _, w, held, *_ in best if held >= few), default=0)
@@ -180,31 +219,94 @@ def held_part(passage: list[str], special: list[bool], document: list[str], at:
     return most / n if n else 0.0
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, least: float = 0.4, max_items: int = 200_000) -> DataFrame:
+def _runs(at: np.ndarray, to: np.ndarray) -> list[tuple[int, int, int]]:
+    """(begin in the document, begin in the passage, words) of the runs of equal words, by begin in the document."""
+    order = np.lexsort((at, at - to))
+    a, b = at[order], to[order]
+    new = np.flatnonzero(np.concatenate(([True], (a[1:] - b[1:] != a[:-1] - b[:-1]) | (a[1:] != a[:-1] + 1))))
+    size = np.diff(np.append(new, len(a))) + 1
+    return sorted(zip(a[new].tolist(), b[new].tolist(), size.tolist()))
+
+
+def _near(runs: list[tuple[int, int, int]], n: int) -> Iterator[list[tuple[int, int, int]]]:
+    """The runs cut into stretches of the document that are further apart than the passage is long."""
+    part: list[tuple[int, int, int]] = []
+    end = 0
+    for r in runs:
+        if part and r[0] - end > n:
+            yield part
+            part = []
+        part.append(r)
+        end = max(end, r[0] + r[2])
+    if part:
+        yield part
+
+
+def _chained(runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The runs, in order in both texts, that hold most words; of two that overlap the later one begins later."""
+    score = [size for _, _, size in runs]
+    back, skip = [-1] * len(runs), [0] * len(runs)
+    for i, (a, b, size) in enumerate(runs):
+        for j in range(i):
+            x, y, last = runs[j]
+            if x < a and y < b:
+                over = max(0, x + last - a, y + last - b)
+                # Near runs count a little more, so that of equal chains the closest is taken.
+                value = score[j] + size - over - min(0.5, 0.001 * (a - x - last + b - y - last if not over else 0))
+                if size - over >= 1 and value > score[i]:
+                    score[i], back[i], skip[i] = value, j, over
+    out: list[tuple[int, int, int]] = []
+    i = max(range(len(runs)), key=score.__getitem__)
+    while i >= 0:
+        a, b, size = runs[i]
+        out.append((a + skip[i], b + skip[i], size - skip[i]))
+        i = back[i]
+    return out[::-1]
+
+
+def usual_words(items: DataFrame) -> frozenset[str]:
+    """The words that more than a fiftieth of the passages (and more than two) hold: at most fifty times the mean number
+    of words of a passage, so few whatever their number."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"word": [x for t in b["passage"] for x in set(plain_words(t))]})
+
+    most = max(2, items.count() // 50)
+    return frozenset(r[0] for r in items.select("passage").mapInPandas(run, "word string").groupBy("word").count().where(F.col("count") > most).select("word").collect())
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, least: float = 0.4, max_items: int = 200_000, max_chars: int = 200_000_000) -> DataFrame:
     """(doc_id, item_id, held): documents that hold at least `least` of an item's passage. documents: doc_id, text; items:
-    item_id, passage. The item table is a test set: its size is counted first, and up to max_items its pairs of words are
-    broadcast and the documents stream past them without a shuffle; a larger one is taken in slices of max_items."""
+    item_id, passage. Equal passages are taken as one. The passages are a test set: their number and letters are counted
+    first, and up to max_items and max_chars their fingerprints are broadcast and the documents stream past them without a
+    shuffle; a larger set is taken in slices, with the same result."""
     items = items.where("trim(passage) <> ''").select("item_id", "passage")
-    total = items.count()
-    slices = max(1, -(-total // max_items))
+    distinct = cut(items.groupBy("passage").agg(F.min("item_id").alias("_rep"), F.count("*").alias("_n")))
+    total, chars, rows = distinct.agg(F.count("*"), F.coalesce(F.sum(F.length("passage")), F.lit(0)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    usual = usual_words(distinct)
+    slices = max(1, -(-total // max_items), -(-chars // max_chars))
     found = None
     for s in range(slices):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == s)
-        shared = share(documents.sparkSession, Fingerprints([(r[0], r[1]) for r in part.collect()]))
+        part = distinct.where(F.pmod(F.xxhash64("passage"), F.lit(slices)) == s).select("_rep", "passage")
+        shared = share(documents.sparkSession, Fingerprints([(r[0], r[1]) for r in part.orderBy("_rep").collect()], usual))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             prints, hasher = opened(shared), Hasher()
             for b in batches:
-                rows = []
+                out = []
                 for doc, text in zip(b["doc_id"], b["text"]):
-                    words = plain_words(text)
-                    codes = hasher.codes(words)
-                    for item, at in prints.candidates(codes, min(least, 0.4)).items():
-                        held = held_part(prints.words[item], prints.special[item], words, at)
+                    for i, (at, to) in prints.candidates(hasher.codes(plain_words(text)), min(least, 0.4)).items():
+                        held = held_part(prints.special[i], at, to)
                         if held >= least:
-                            rows.append((doc, item, held))
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "held"])
+                            out += [(doc, item, held) for item in prints.items[i]]
+                yield pd.DataFrame(out, columns=["doc_id", "item_id", "held"])
 
         one = documents.where("trim(text) <> ''").select("doc_id", "text").mapInPandas(run, "doc_id long, item_id long, held double")
         found = one if found is None else found.unionByName(one)
-    return found
+    if rows == total:
+        return found
+    # Items whose passages are letter for letter the same share one representative.
+    of = items.join(distinct, "passage").select(F.col("_rep").alias("item_id"), F.col("item_id").alias("_item"))
+    n = found.groupBy("item_id").agg(F.count("*").alias("_n"))
+    return salted_join(found, of.join(n, "item_id"), ["item_id"], "_n", F.col("doc_id")).select("doc_id", F.col("_item").alias("item_id"), "held")

@@ -10,9 +10,9 @@ PASSAGE = (
 )
 
 
-def _leaks(spark, docs, items):
+def _leaks(spark, docs, items, **kw):
     d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
-    return {(r["doc_id"], r["item_id"]) for r in leakage.find_leaks(d, spark.createDataFrame(items, "item_id long, passage string")).collect()}
+    return {(r["doc_id"], r["item_id"]) for r in leakage.find_leaks(d, spark.createDataFrame(items, "item_id long, passage string"), **kw).collect()}
 
 
 def test_leaks_in_short_pieces(spark):
@@ -33,6 +33,18 @@ def test_leaks_of_passages_that_many_items_share(spark):
     assert _leaks(spark, docs, [(i, PASSAGE) for i in range(6)] + [(6, "Quite another text about the price of wool in the north and of all that came of it later on.")]) == {(d, i) for d in (0, 1) for i in range(6)}
 
 
+@pytest.mark.parametrize("questions", [1, 4, 5, 8])
+def test_leaks_of_benchmarks_with_several_questions_a_passage(spark, questions):
+    names = [f"Name{chr(97 + i)}{chr(122 - i)}ar" for i in range(20)]
+    passages = [f"In the year {1900 + i} {n} of Port {n[::-1].title()} sold {i + 11} red boats to the guild of {n}mouth, and the {i + 40} rowers left before the ice came to the bay." for i, n in enumerate(names)]
+    items = [(100 * i + q, p) for i, p in enumerate(passages) for q in range(questions)]
+    docs = [f"Before. {p} After." for p in passages] + ["In the year of the guild they sold red boats, and the rowers left before the ice came to the bay."]
+    want = {(i, 100 * i + q) for i in range(20) for q in range(questions)}
+    assert _leaks(spark, docs, items) == want
+    assert _leaks(spark, docs, items, max_items=7) == want
+    assert _leaks(spark, docs, items, max_chars=500) == want
+
+
 @pytest.mark.parametrize("sign", ["{name}", "${name}", "[date tbd]", "[name here]", "(address goes here)", "<x_here>", "[[ name ]]", "[your name]"])
 def test_all_trusted_kinds_are_topped_up(spark, sign):
     bad = f"Write to {sign} today."
