@@ -80,22 +80,26 @@ class BKTree:
     at distance d from the parent only if |d - c| <= r."""
 
     def __init__(self, words: list[str]):
-        self.words: list[str] = []
-        self.children: list[dict[int, int]] = []
-        for w in dict.fromkeys(words):
-            self._add(w)
-
-    def _add(self, word: str) -> None:
-        self.words.append(word)
-        self.children.append({})
-        new = len(self.words) - 1
-        at = 0
-        while new:
-            d = levenshtein(word, self.words[at])
-            if d not in self.children[at]:
-                self.children[at][d] = new
-                return
-            at = self.children[at][d]
+        self.words = list(dict.fromkeys(words))
+        self.children: list[dict[int, int]] = [{} for _ in self.words]
+        block = Block(self.words)
+        # The first word of each part is the node that the others of the part hang below, by their distance to it.
+        parts = [np.arange(len(self.words))] if self.words else []
+        while parts:
+            part = parts.pop()
+            node, rest = int(part[0]), part[1:]
+            if not len(rest):
+                continue
+            word = self.words[node]
+            if len(rest) < 6:
+                d = np.array([levenshtein(word, self.words[r]) for r in rest])
+            else:
+                d = block.distances(word, rest)
+            order = np.argsort(d, kind="stable")
+            cuts = np.flatnonzero(np.diff(d[order])) + 1
+            for group in np.split(order, cuts):
+                self.children[node][int(d[group[0]])] = int(rest[group[0]])
+                parts.append(rest[group])
 
     def search(self, block: Block, radius: int) -> list[tuple[int, int, int]]:
         """Every (row of the block, index of the word, distance) with a distance of at most radius."""

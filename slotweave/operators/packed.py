@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotweave.functions import packing
-from slotweave.functions.names import NameMatcher
+from slotweave.operators.mapping import mapped
 from slotweave.operators.skew import salted_join
 from slotweave.session import cut
 
@@ -62,30 +62,11 @@ def split_packed(values: DataFrame, rounds: int = 2) -> DataFrame:
     return _with_counts(lattices).mapInPandas(_best, "value string, n long, items array<string>")
 
 
-def named(rows: DataFrame, column: str, entries: list[tuple[int, str, list[str]]], out: str) -> DataFrame:
-    """rows with the id of the entry that the name in column means, -1 if none; no shuffle, names are looked up once a task."""
-    fields = [f for f in rows.schema.fields]
-    kept = [f.name for f in fields]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher, known = NameMatcher(entries), {}
-        for b in batches:
-            new = [x for x in b[column].dropna().unique() if x not in known]
-            if len(known) + len(new) > 500_000:
-                known, new = {}, list(b[column].dropna().unique())
-            known.update(zip(new, (k for k, _ in matcher.match(new))))
-            b[out] = b[column].map(known).fillna(-1).astype("int32")
-            yield b[[*kept, out]]
-
-    from pyspark.sql import types as T
-
-    return rows.mapInPandas(run, T.StructType([*fields, T.StructField(out, T.IntegerType())]))
-
-
-def packed_options(options: DataFrame, entries: list[tuple[int, str, list[str]]], list_like: list[int]) -> DataFrame:
-    """(option_seq, item_pos, item_text) for each item of each option of a list-like slot whose value packs two or more."""
-    rows = named(options.select("option_seq", "slot", "value").where("trim(value) <> '' and trim(slot) <> ''"), "slot", entries, "slot_id")
-    rows = rows.where(F.col("slot_id").isin(list_like)).select("option_seq", "value")
-    rows = cut(rows)
+def packed_options(options: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(option_seq, item_pos, item_text) for each item of each option of a list-like slot whose value packs two or more.
+    catalog: slot_id, slot_name, known_aliases, list_like."""
+    rows = mapped(options.select("option_seq", "slot", "value").where("trim(value) <> '' and trim(slot) <> ''"), "slot", catalog)
+    listed = catalog.where("list_like").select("slot_id").distinct()
+    rows = cut(rows.join(listed, "slot_id", "left_semi").select("option_seq", "value"))
     items = cut(split_packed(rows.select("value")).where(F.size("items") > 1))
     return salted_join(rows, items, ["value"], "n", F.col("option_seq")).select("option_seq", F.posexplode("items").alias("p", "item_text")).select("option_seq", (F.col("p") + 1).cast("int").alias("item_pos"), "item_text")

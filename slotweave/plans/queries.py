@@ -38,9 +38,7 @@ def _joined(c: str):
 
 @_query
 def p2_found(s: SparkSession, d: str) -> DataFrame:
-    catalog = read(s, d, "slot_catalog").select("slot_id", "slot_name", "known_aliases", "list_like").collect()
-    entries = [(r["slot_id"], r["slot_name"], list(r["known_aliases"] or [])) for r in catalog]
-    return packed.packed_options(_o(s, d), entries, [r["slot_id"] for r in catalog if r["list_like"]])
+    return packed.packed_options(_o(s, d), read(s, d, "slot_catalog"))
 
 
 # sources

@@ -10,7 +10,7 @@ from slotweave.functions import backends
 from slotweave.functions import text as X
 from slotweave.functions.bktree import BKTree, Block, damerau, levenshtein
 from slotweave.functions.names import NameMatcher, words
-from slotweave.operators import detect, generate, normalize, segment, vectors
+from slotweave.operators import detect, generate, mapping, normalize, segment, vectors
 from slotweave.sources import readers, writers
 from slotweave.streaming import growing
 
@@ -43,6 +43,18 @@ def test_names():
     assert {k: v[0] for k, v in zip(cases, m.match(list(cases)))} == cases
 
 
+LISTED = [(1, "target audience", ["readers"]), (2, "tariff audience", []), (3, "x" * 99 + "y", []), (4, "readers", []), (5, "city stops", ["readers"]), (6, "stop", []), (7, "target area", [])]
+
+
+@pytest.mark.parametrize("most", [100, 3, 2, 1])
+def test_shards_of_a_list_find_what_the_whole_list_finds(spark, most):
+    names = {"tar aud": -1, "tar audience": -1, "x" * 99: 3, "readers": 4, "stops city": 5, "stops": 6, "targt area": 7, "trget audience": 1, "tar are": 7, "reeders": 4, " ": -1}
+    ref = spark.createDataFrame([(*r, 1) for r in LISTED] + [(9, None, None, 1)], "slot_id int, slot_name string, known_aliases array<string>, name int")
+    df = spark.createDataFrame([(n,) for n in names] * 2 + [(None,)], "name string")
+    got = {r["name"]: r["slot_id"] for r in mapping.mapped(df, "name", ref, max_broadcast=most).collect()}
+    assert got == names | {None: -1}
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("Say {a} to {b} and {a}.", ["a", "b"]), ("", []), (None, None)], "t string, s array<string>")
     pairs = F.transform("s", lambda x: F.struct(x.alias("slot"), F.upper(x).alias("value")))

@@ -48,7 +48,8 @@ def test_lattice_covers():
 def test_options_extra_columns(spark):
     rows = [(1, "colours", "red, green", 9), (2, "colour", "red, green", 9), (3, None, "a, b", 9), (4, "The Colours_list", "red; blue", 9), (5, "weight", "1, 2", 9), (1_000, "colours", "red, green", 9)]
     df = spark.createDataFrame(rows, "option_seq long, slot string, value string, n int").withColumn("slot_id", F.lit(7)).withColumn("items", F.lit("x"))
-    got = packed.packed_options(df, [(1, "colours", ["hues"]), (2, "weight", [])], [1]).collect()
+    catalog = spark.createDataFrame([(1, "colours", ["hues"], True), (2, "weight", [], False)], "slot_id int, slot_name string, known_aliases array<string>, list_like boolean")
+    got = packed.packed_options(df, catalog).collect()
     assert {(r["option_seq"], r["item_pos"], r["item_text"]) for r in got} == {(s, p, t) for s in (1, 2, 1_000) for p, t in ((1, "red"), (2, "green"))} | {(4, 1, "red"), (4, 2, "blue")}
 
 
