@@ -1,50 +1,20 @@
 """Mapping free-entered values to the entries of a reference list: a BK-tree under an edit metric.
 
 Names are reduced to their words first (case, separators, humps, brackets, articles, trailing numbers and the like), then
-looked up in a BK-tree of all reference forms; each entry within the threshold is returned and the nearest wins (ties:
-the nearer kind of form, then the smaller id). Null and blank names give no row; names that mean nothing get -1."""
+looked up in a BK-tree of all reference forms, abbreviations as what they stand for; each entry within the threshold is
+returned and the nearest wins (ties: the nearer kind of form, then the smaller id). A list beyond the bound of one tree is
+sharded, and the shards' findings merged. Null and blank names give no row; names that mean nothing get -1."""
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from slotweave.functions.names import NameMatcher
-from slotweave.operators.packed import named
-from slotweave.operators.skew import salted_join
-
-#: Entries of a reference list up to which the whole tree is sent to every task.
-MAX_BROADCAST = 50_000
+from slotweave.operators import mapping
+from slotweave.operators.mapping import MAX_BROADCAST
 
 
 def canonical(rows: DataFrame, column: str, reference: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """rows with slot_id, the reference entry that the name in column means, or -1.
-
-    reference: slot_id, slot_name, known_aliases. Its size is counted first: up to max_broadcast entries each task holds
-    the tree and rows stream past it; beyond that the entries are cut into shards, the distinct names meet each shard,
-    and the shards' winners are merged."""
-    reference = reference.select("slot_id", "slot_name", "known_aliases")
-    rows = rows.drop("slot_id")
-    total = reference.count()
-    if total <= max_broadcast:
-        return named(rows, column, [(r[0], r[1], list(r[2] or [])) for r in reference.collect()], "slot_id")
-    shards = -(-total // max_broadcast)
-    names = rows.where(F.trim(column) != "").groupBy(F.col(column).alias("_name")).agg(F.count("*").alias("_n"))
-    asked = names.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("block", F.pmod(F.xxhash64("_name"), F.lit(64)))
-    entries = reference.withColumn("shard", F.pmod(F.xxhash64("slot_id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))))
-    schema = T.StructType([T.StructField("_name", T.StringType()), T.StructField("_n", T.LongType()), T.StructField("slot_id", T.IntegerType()), T.StructField("_d", T.IntegerType())])
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        matcher = NameMatcher([(int(i), n, [] if a is None else list(a)) for i, n, a in zip(right["slot_id"], right["slot_name"], right["known_aliases"])])
-        got = matcher.match(list(left["_name"]))
-        return pd.DataFrame({"_name": left["_name"], "_n": left["_n"], "slot_id": [k for k, _ in got], "_d": [d if k >= 0 else 1_000 for k, d in got]})
-
-    winners = (
-        asked.groupBy("shard", "block").cogroup(entries.groupBy("shard", "block")).applyInPandas(run, schema)
-        .groupBy("_name").agg(F.min_by("slot_id", F.struct("_d", "slot_id")).alias("slot_id"), F.max("_n").alias("_n"))
-        .withColumnRenamed("_name", column)
-    )
-    return salted_join(rows, winners, [column], "_n", F.monotonically_increasing_id(), "left").drop("_n").fillna(-1, ["slot_id"])
+    """rows with slot_id, the entry of reference (slot_id, slot_name, known_aliases) that the name in column means, or -1."""
+    return mapping.mapped(rows, column, reference, "slot_id", max_broadcast)
 
 
 def slot_names(options: DataFrame, templates: DataFrame) -> DataFrame:
