@@ -20,8 +20,10 @@ _MARK = re.compile(r"\s*(?:[-*•–]|\(?\d+[.)])\s+")
 _PAIRS = {'"': '"', "'": "'", "“": "”", "«": "»", "„": "“", "‘": "’", "`": "`"}
 _BRACKETS = {"(": ")", "[": "]", "{": "}"}
 _ENDS = re.compile(r"\s*(?:[,;|/+·、，；\t\n\r]|and\b|or\b|$)")
-#: Pieces that one item may span.
-LONGEST = 4
+#: Pieces up to which every span of a value is a possible item. In a value of more pieces, longer spans are possible items if
+#: only weak separators are inside, if they are the whole value, or if they are a whole value or quoted elsewhere (see known).
+LONGEST = 12
+WEAK = 0.9
 
 
 def _shield(text: str) -> tuple[str, list[tuple[int, int]]]:
@@ -111,28 +113,68 @@ def pieces(value: str) -> tuple[list[tuple[int, int]], list[float], str]:
     return [spans[k] for k in kept], joined, text
 
 
-def lattice(value: str) -> tuple[list[int], list[int], list[str], list[float]]:
-    """Every item that the value may hold: first and last piece and text; and the gaps' priors."""
-    head = value.strip()[:1]
-    if head == "[":
-        try:
-            items = json.loads(value)
-        except ValueError:
-            items = None
-        if isinstance(items, list) and all(not isinstance(x, (list, dict)) for x in items):
-            items = [s for s in (str(x).strip() for x in items if x is not None) if s]
-            return list(range(len(items))), list(range(len(items))), items, [1.0] * max(0, len(items) - 1)
+def _listed(value: str) -> list[str] | None:
+    """The items of a JSON list of plain things."""
+    if value.strip()[:1] != "[":
+        return None
+    try:
+        items = json.loads(value)
+    except ValueError:
+        return None
+    if not isinstance(items, list) or any(isinstance(x, (list, dict)) for x in items):
+        return None
+    return [s for s in (str(x).strip() for x in items if x is not None) if s]
+
+
+def long_texts(value: str) -> tuple[list[str], list[tuple[str, list[str]]]]:
+    """The pieces of a value of more than LONGEST pieces (else none); and the names of so many pieces that it gives: itself
+    and its quoted pieces, each with its pieces."""
+    if _listed(value) is not None:
+        return [], []
+    at, _, text = pieces(value)
+    inner = [_bare(text[a:b]) for a, b in at if text[a] in _PAIRS]
+    whole = [text[a:b].strip() for a, b in at] if len(at) > LONGEST else []
+    names = [(text, whole)] if whole else []
+    for x in dict.fromkeys(inner):
+        found, _, held = pieces(x) if x else ([], [], x)
+        if len(found) > LONGEST:
+            names.append((x, [held[a:b].strip() for a, b in found]))
+    return whole, names
+
+
+def lattice(value: str, known: list[str] = ()) -> tuple[list[int], list[int], list[str], list[float]]:
+    """Every item that the value may hold: first and last piece and text; and the gaps' priors. known: texts of more than
+    LONGEST pieces that are whole values somewhere, or quoted."""
+    items = _listed(value)
+    if items is not None:
+        return list(range(len(items))), list(range(len(items))), items, [1.0] * max(0, len(items) - 1)
     at, gaps, text = pieces(value)
+    n = len(at)
+    ends = [min(i + LONGEST, n) for i in range(n)]
+    spans = {(i, j) for i in range(n) for j in range(i, ends[i])} | ({(0, n - 1)} if n else set())
+    i = 0
+    while n > LONGEST and i < n:
+        j = i
+        while j < n - 1 and gaps[j] < WEAK:
+            j += 1
+        spans |= {(a, b) for a in range(i, j) for b in range(a + LONGEST, j + 1)}
+        i = j + 1
+    begin, end = {a: i for i, (a, _) in enumerate(at)}, {b: j for j, (_, b) in enumerate(at)}
+    for name in known:
+        found = text.find(name)
+        while found >= 0:
+            if found in begin and found + len(name) in end:
+                spans.add((begin[found], end[found + len(name)]))
+            found = text.find(name, found + 1)
     first, last, texts = [], [], []
-    for i in range(len(at)):
-        for j in range(i, min(i + LONGEST, len(at))):
-            if j > i and gaps[j - 1] >= 0.999:
-                break
-            item = _bare(text[at[i][0] : at[j][1]])
-            if item:
-                first.append(i)
-                last.append(j)
-                texts.append(item)
+    for i, j in sorted(spans):
+        if any(g >= 0.999 for g in gaps[i:j]):
+            continue
+        item = _bare(text[at[i][0] : at[j][1]])
+        if item:
+            first.append(i)
+            last.append(j)
+            texts.append(item)
     return first, last, texts, gaps
 
 

@@ -32,6 +32,18 @@ def test_splits(spark):
     assert got[" red , red "] == ["red", "red"]
 
 
+def test_items_of_many_pieces(spark):
+    title = "a man, a plan, a canal, a cat, a ham, a yak"
+    longer = ", ".join(f"part {chr(97 + i)}" for i in range(15))
+    assert (0, 5) in set(zip(*lattice(title)[:2])) and (0, 14) in set(zip(*lattice(longer)[:2]))
+    assert (1, 15) in set(zip(*lattice(f"red, {longer}, blue", [longer])[:2]))
+    assert (0, 19) in set(zip(*lattice("/".join("abcdefghijklmnopqrst"))[:2]))
+    # Both stand quoted, whole or in lists, so their one bare occurrence is one item too.
+    got = items(spark, [f'"{x}"; {y}' for x in (title, longer) for y in ("red", "green", "blue")] + [f"{title}; red", f"blue; {longer}; red", "red", "green", "blue", "red; blue"])
+    assert got[f"{title}; red"] == [title, "red"]
+    assert got[f"blue; {longer}; red"] == ["blue", longer, "red"]
+
+
 def test_edges(spark):
     assert items(spark, [None, "", "  ", ",", "[]", "[1", '"open']).keys() <= {",", "[]", "[1", '"open'}
     long = "a, " * 5000 + "b"
