@@ -3,10 +3,12 @@
 Lengths are tokens of a public tokenizer. A text longer than the capacity is cut into pieces of exactly the capacity and
 a rest. The driver sees only how many pieces there are of each length (at most `capacity` numbers) and plans best-fit,
 longest first, over those counts: whole runs of equal containers at once. Each piece gets its rank among those of its
-length, from counts of (length, shard) and ranks within, so no length is ranked in one task, and the plan tells from
-length and rank the container and the offset. Null and blank texts take no room and give no row."""
+length, from counts of (length, shard) and ranks within; a length has the more shards the more pieces it has, so none is
+ranked in one task, and the plan tells from length and rank the container and the offset. Null and blank texts take no room and give no row."""
 
 import bisect
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +23,13 @@ CAPACITY = 1024
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: GPT-2's published pattern for cutting text before byte-pair encoding.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-#: Characters handed to the tokenizer at once.
-CHUNK = 100_000
+#: Characters after which a text may be handed to the tokenizer in several stretches.
+CHUNK = 1_000_000
+#: Pieces of one length that are ranked together.
+RANKED = 500_000
+
+
+_BEGIN = re.compile(r"\S(?=\s)")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -97,14 +104,19 @@ def _encoder(path: str):
 
     import tiktoken
 
+    if not os.path.exists(path):
+        from pyspark import SparkFiles
+
+        path = SparkFiles.get(os.path.basename(path))
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_lengths(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, n_tokens). The vocabulary file must lie at the same path on each worker (it is a parameter). Very long
-    texts are tokenized in stretches cut before white space."""
+    """(doc_id, n_tokens). The vocabulary file (a parameter) lies at the same path on each worker, or was sent there by
+    SparkContext.addFile. Very long texts are tokenized in stretches that begin with white space behind a word, where the
+    tokenizer begins a token too, so the count is that of the whole text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = _encoder(tokenizer).encode_ordinary
@@ -117,14 +129,15 @@ def token_lengths(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame
 def _stretches(text: str) -> Iterator[str]:
     at = 0
     while len(text) - at > CHUNK:
-        end = text.rfind(" ", at + 1, at + CHUNK)
-        end = end if end > at else at + CHUNK
-        yield text[at:end]
-        at = end
+        m = _BEGIN.search(text, at + CHUNK)
+        if m is None:
+            break
+        yield text[at : m.start() + 1]
+        at = m.start() + 1
     yield text[at:]
 
 
-def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, shards: int = 64) -> DataFrame:
+def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, ranked: int = RANKED) -> DataFrame:
     """(doc_id, piece, container, container_offset, n_tokens, text_offset): where each document (or piece) lies; piece counts
     from 0, text_offset is the piece's first token within the document."""
     lengths = token_lengths(documents, tokenizer)
@@ -133,8 +146,13 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENI
         "doc_id", "piece", F.least(F.lit(capacity).cast("long"), F.col("n_tokens") - F.col("piece") * capacity).cast("int").alias("n"),
         (F.col("piece") * capacity).cast("long").alias("text_offset"),
     )
-    pieces = cut(pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int")))
-    groups = pieces.groupBy("n", "shard").count().collect()  # at most capacity x shards rows
+    pieces = cut(pieces)
+    # At most `capacity` lengths come to the driver, and as many more shards as there are pieces / ranked.
+    parts = {r["n"]: -(-r["count"] // ranked) for r in pieces.groupBy("n").count().collect()}
+    hot = {n: k for n, k in parts.items() if k > 1}
+    shards = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in hot.items() for x in kv]), F.col("n")), F.lit(1)) if hot else F.lit(1)
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), shards).cast("int"))
+    groups = pieces.groupBy("n", "shard").count().collect()
     first: dict[tuple[int, int], int] = {}
     counts: dict[int, int] = {}
     for r in sorted(groups, key=lambda r: (r["n"], r["shard"])):

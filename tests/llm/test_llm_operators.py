@@ -206,7 +206,7 @@ def test_plan_places_all(counts):
 def test_packing(spark):
     texts = [None, "", "  ", "one", "one", LONG, "a b c d e f g h i j"] + ["x y"] * 30
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, n int, shard int")
-    rows = packing.pack(df, capacity=64, shards=3).collect()
+    rows = packing.pack(df, capacity=64, ranked=3).collect()
     lengths = {r["doc_id"]: r["n_tokens"] for r in packing.token_lengths(df).collect()}
     total, by = Counter(), {}
     for r in rows:
@@ -223,6 +223,15 @@ def test_packing(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("text", ["hello\n" * 500, "a" * 3000 + " b", "word  and\t more, x1 " * 200, "\n\n  " * 400 + "end", "x" * 2500])
+def test_stretches_change_no_count(monkeypatch, text):
+    encode = packing._encoder(packing.TOKENIZER).encode_ordinary
+    whole = len(encode(text))
+    monkeypatch.setattr(packing, "CHUNK", 100)
+    parts = list(packing._stretches(text))
+    assert "".join(parts) == text and sum(len(encode(x)) for x in parts) == whole
+
+
 def test_tokens_are_the_public_ones():
     from tokenizers import Tokenizer
 
