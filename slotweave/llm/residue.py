@@ -13,6 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slotweave.session import opened, share
@@ -178,29 +179,34 @@ class Detector:
 
 
 def fit_sample(texts: DataFrame, rows: int = FIT_ROWS, wide: int = 10) -> tuple[list, list, int]:
-    """At most `rows` texts, picked by a hash of their key and so alike at each run; of `wide` times as many, those with a
-    trusted passage (again at most `rows`); how many records one of the former stands for, as against the latter."""
+    """At most `rows` texts, the first by a hash of their key and so alike at each run; of `wide` times as many, those with
+    a trusted passage (again at most `rows`); how many records one of the former stands for, as against the latter. The
+    number of rows comes from the files' footers; both samples come from one pass."""
     total = texts.count()
-    place = F.pmod(F.xxhash64("record_key", "record_kind"), F.lit(max(1, -(-total // rows))))
+    code = F.xxhash64("record_key", "record_kind")
+    place = F.pmod(code, F.lit(max(1, -(-total // rows))))
     # Every text that may hold a trusted passage: signs that _open trusts have one of these characters or words.
     known = F.col("text").rlike("(?i)" + TRUSTED.pattern) | F.col("text").rlike(r"[\[{<@_(]|XXX|(?i)nan")
-    shape = lambda df: [(r["text"], r["record_kind"] == "template") for r in df.select("text", "record_kind").collect()]
-    few = shape(texts.where(place == 0).limit(rows + rows // 4))
+    asked = texts.where(F.length(F.trim("text")) > 0).select("text", "record_kind", (place == 0).alias("few"), place.alias("place"), code.alias("code"))
+    asked = asked.where(F.col("few") | (F.col("place") < wide) & known).drop("place")
 
     def trusted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b[[has_trusted(x, k == "template") for x, k in zip(b["text"], b["record_kind"])]]
+            yield b[[few or has_trusted(x, k == "template") for x, k, few in zip(b["text"], b["record_kind"], b["few"])]]
 
-    held = texts.where(place.between(1, wide - 1) & known).select("text", "record_kind").mapInPandas(trusted, "text string, record_kind string")
-    sure = shape(held.limit(rows))
-    return few, sure, max(1, min(wide, -(-total // rows)))
+    held = asked.mapInPandas(trusted, "text string, record_kind string, few boolean, code long")
+    first = F.row_number().over(W.partitionBy("few").orderBy("code", "record_kind", "text"))
+    most = F.when(F.col("few"), rows + rows // 4).otherwise(rows)
+    got = held.withColumn("r", first).where((F.col("r") <= rows + rows // 4) & (F.col("r") <= most)).orderBy("few", "r").collect()
+    shape = lambda few: [(r["text"], r["record_kind"] == "template") for r in got if r["few"] == few]
+    return shape(True), shape(False), max(1, min(wide, -(-total // rows)))
 
 
 def mark_residue(texts: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """texts (record_kind, record_key, text) that are residue: (record_kind, record_key). The model is fitted on samples
     of at most fit_rows records (a parameter); every record is scored in full. No shuffle."""
-    texts = texts.where("trim(text) <> ''")
     few, sure, weight = fit_sample(texts, fit_rows)
+    texts = texts.where(F.length(F.trim("text")) > 0)
     shared = share(texts.sparkSession, Detector().fit(few, sure, weight))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,7 +1,8 @@
 """Subject areas of documents: one-versus-rest linear classifiers on hashed word n-grams, judged sentence by sentence.
 
-Labels come from the labelled examples and, where those have no text in a language, weakly from words that head sections
-in that language (WEAK_WORDS); unlabelled documents in which one subject leads add the words that stand under no other. A sentence
+Labels come from the labelled examples and weakly from metadata (the words of source, section and path, where they name a
+subject or go with one) and, where examples have no text in a language, from words that head sections in that language
+(WEAK_WORDS); unlabelled documents in which one subject leads add the words that stand under no other. A sentence
 bears a subject if the calibrated probability is high enough; a document treats each subject that bears at least a
 quarter of its subject-bearing sentences, so remarks on form, tone and procedure don't count.
 
@@ -170,9 +171,9 @@ def _vote(grams: list[int], pure: dict[int, int], n: int) -> int:
     return k if c[k] >= 0.7 * len(votes) else -1
 
 
-def learn(names: list[str], examples: list[tuple[str, str]], unlabelled: list[str], rounds: int = 2, rows: int = 40_000) -> Subjects:
+def learn(names: list[str], examples: list[tuple[str, str]], unlabelled: list[str], metadata: list[tuple[str, ...]] = (), rounds: int = 2, rows: int = 40_000) -> Subjects:
     """Which grams belong to a subject is learned from the examples and WEAK_WORDS, then from the unlabelled documents in
-    which one subject leads; sentences with such grams (or without any) train the classifiers, at most `rows` of them."""
+    which one subject leads, or whose metadata (source, section, path) go with one subject nearly always; sentences with such grams (or without any) train the classifiers, at most `rows` of them."""
     grams, at, n = Grams(), {x: i for i, x in enumerate(names)}, len(names)
     counts: dict[int, np.ndarray] = {}
     labelled = [(grams(s), at[k]) for text, k in examples if k in at and text for s in sentences(text)]
@@ -182,6 +183,9 @@ def learn(names: list[str], examples: list[tuple[str, str]], unlabelled: list[st
     seeds = {grams(w.casefold())[0]: at[k] for k, ws in WEAK_WORDS.items() if k in at for w in ws.split()}
     pure = _pure(counts, np.maximum(1, np.bincount(np.array([k for _, k in labelled], dtype=int), minlength=n)), 4, 0.9) | seeds
     docs = [[grams(s) for s in sentences(t)] for t in unlabelled]
+    # The metadata of a document: each value, and the words of it.
+    marks = [[_slot(f"\0{x}") for v in m for x in {v.casefold(), *_WORD.findall(v.casefold().replace("_", " "))}] for m in metadata] or [[] for _ in docs]
+    of_mark: dict[int, int] = {_slot(f"\0{x.casefold()}"): k for k, x in enumerate(names)}
     for _ in range(rounds):
         counts, base = {}, np.ones(n)
         for text, k in examples:
@@ -189,17 +193,27 @@ def learn(names: list[str], examples: list[tuple[str, str]], unlabelled: list[st
                 base[at[k]] += 1
                 for x in {x for s in sentences(text) for x in grams(s)}:
                     counts.setdefault(x, np.zeros(n))[at[k]] += 1
-        for d in docs:
+        seen_marks: dict[int, np.ndarray] = {}
+        led_by = np.ones(n)
+        for d, m in zip(docs, marks):
             votes = [v for v in (_vote(g, pure, n) for g in d) if v >= 0]
             if len(votes) < 2:
-                continue
-            c = np.bincount(votes, minlength=n)
-            k = int(c.argmax())
-            if c[k] < 0.7 * len(votes):
-                continue
+                # Too few words are known: the metadata say what the document treats, if anything does.
+                k = _vote(m, of_mark, n)
+                if k < 0 or votes and votes[0] != k:
+                    continue
+            else:
+                c = np.bincount(votes, minlength=n)
+                k = int(c.argmax())
+                if c[k] < 0.7 * len(votes):
+                    continue
+                led_by[k] += 1
+                for x in m:
+                    seen_marks.setdefault(x, np.zeros(n))[k] += 1
             base[k] += 1
             for x in {x for g in d for x in g}:
                 counts.setdefault(x, np.zeros(n))[k] += 1
+        of_mark |= _pure(seen_marks, led_by, 20, 0.9)
         pure = {g: k for g, k in seeds.items() if g not in counts or counts[g].sum() < 5} | _pure(counts, base, 4, 0.8)
     eye, none = np.eye(n, dtype=np.float32), np.zeros(n, dtype=np.float32)
     # Words that stand under three subjects or more tell none apart. A sentence of such words (but for one, as a name is)
@@ -229,15 +243,19 @@ def learn(names: list[str], examples: list[tuple[str, str]], unlabelled: list[st
     return model
 
 
-def mark_subjects(documents: DataFrame, examples: list[tuple[str, str]], names: list[str], least_share: float = 0.25, fit_documents: int = FIT_DOCUMENTS) -> DataFrame:
+def mark_subjects(documents: DataFrame, examples: list[tuple[str, str]], names: list[str], least_share: float = 0.25, fit_documents: int = FIT_DOCUMENTS, metadata: tuple[str, ...] = ("source", "doc_kind", "url")) -> DataFrame:
     """(doc_id, subject, sentences, held): for each document the subjects of at least `least_share` of its subject-bearing
-    sentences. The model learns from the examples and at most fit_documents documents; every document is judged."""
-    documents = documents.where("trim(text) <> ''").select("doc_id", "text")
+    sentences. The model learns from the examples and at most fit_documents documents, the first by a hash of doc_id; every
+    document is judged. metadata: columns whose values (and the words of paths in them) label documents weakly where they
+    go with one subject nearly always."""
+    total = documents.count()
+    meta = [c for c in metadata if c in documents.columns]
+    documents = documents.where("trim(text) <> ''").select("doc_id", "text", *meta)
     if not names:
         return documents.sparkSession.createDataFrame([], "doc_id long, subject string, sentences int, held double")
-    total = documents.count()
-    some = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-total // fit_documents)))) == 0).limit(fit_documents)
-    model = learn(names, examples, [r["text"] for r in some.select("text").collect()])
+    code = F.xxhash64("doc_id")
+    some = documents.where(F.pmod(code, F.lit(max(1, -(-total // fit_documents)))) == 0).orderBy(code, "doc_id").limit(fit_documents).collect()
+    model = learn(names, examples, [r["text"] for r in some], [tuple(str(r[c]) for c in meta if r[c] is not None) for r in some])
     shared = share(documents.sparkSession, model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -262,4 +280,4 @@ def mark_subjects(documents: DataFrame, examples: list[tuple[str, str]], names:
                 known.update(fresh)
             yield pd.DataFrame(rows, columns=["doc_id", "subject", "sentences", "held"])
 
-    return documents.mapInPandas(run, "doc_id long, subject string, sentences int, held double")
+    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, subject string, sentences int, held double")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from slotweave.llm import leakage, residue
+from slotweave.llm import leakage, residue, subjects
 
 PASSAGE = (
     "On day 14 Marla of Quell counted 39 herons by the old mill, and 17 of them stood in the shallow ford until Orvik rang the bell at 6. "
@@ -52,3 +52,14 @@ def test_all_trusted_kinds_are_topped_up(spark, sign):
     df = spark.createDataFrame([("prompt", i, bad if i % 2 else "Write to [them] today (soon).") for i in range(400)], "record_kind string, record_key long, text string")
     few, sure, weight = residue.fit_sample(df, 40)
     assert weight == 10 and {t for t, _ in sure} == {bad} and len(sure) == 40
+
+
+def test_metadata_label_documents_weakly():
+    names = ["law", "sport"]
+    examples = [(f"The court heard plea {w}.", "law") for w in "abcdef"] + [(f"The team won match {w}.", "sport") for w in "abcdef"]
+    known = [f"The court heard plea {i}. The court heard plea {i} again. Juzgado cerrado {i}." for i in range(30)] + [f"The team won match {i}. The team won match {i} again." for i in range(30)]
+    foreign = [f"Juzgado y fianza numero {i}." for i in range(30)] + [f"Portero y liga numero {i}." for i in range(30)]
+    labels = [("news/law",)] * 30 + [("news/sport",)] * 30
+    m = subjects.learn(names, examples, known + foreign, labels + labels)
+    grams = subjects.Grams(m.rows)
+    assert [m.bearing(grams(s)) for s in ("Portero y liga numero 3.", "Juzgado y fianza numero 3.")] == [1, 0]
