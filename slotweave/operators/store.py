@@ -74,8 +74,14 @@ def reusable(templates: DataFrame, most: int = 20) -> DataFrame:
 
 
 def slot_coverage(templates: DataFrame, options: DataFrame, least: int = 3) -> DataFrame:
-    """(id, slot, usable) of template slots with fewer than `least` options, those without any included."""
-    return compatible_counts(templates, options).where(F.col("usable") < least).select("id", "slot", "usable")
+    """(id, slot, usable) of template slots with fewer than `least` options, those without any included: options of the
+    slot that fit the template's task type, or all of the slot if none does."""
+    o, ts = _options(options), template_slots(templates)
+    by_type = o.select("slot", F.explode(F.array_distinct("types")).alias("task_type")).groupBy("slot", "task_type").agg(F.count("*").alias("a"))
+    total = o.groupBy("slot").agg(F.count("*").alias("b"))
+    # Slots with `least` options of the type or more are of no interest, so few rows remain of the counts.
+    out = ts.join(by_type, ["slot", "task_type"], "left").join(total, "slot", "left").withColumn("usable", F.coalesce("a", "b", F.lit(0)))
+    return out.where(F.col("usable") < least).select("id", "slot", "usable")
 
 
 def first_fill(templates: DataFrame, options: DataFrame) -> DataFrame:
@@ -96,22 +102,38 @@ def same_type_collisions(filled: DataFrame) -> DataFrame:
     return filled.join(first, ["filled", "task_type"]).where("id <> first_id").select("first_id", F.col("id").alias("other_id"))
 
 
+def _cross_type(filled: DataFrame) -> DataFrame:
+    """(filled, id, template_seq, task_type, held): of the texts that come out under two task types or more, the first
+    template of each type (the others are same-type collisions), so a group is as large as there are types."""
+    one = filled.groupBy("filled", F.coalesce("task_type", F.lit("")).alias("task_type")).agg(F.min_by(F.struct("id", "held"), "template_seq").alias("r"), F.min("template_seq").alias("template_seq"))
+    return one.select("filled", "task_type", "template_seq", "r.id", F.array_join(F.array_sort("r.held"), "|").alias("held"))
+
+
 def cross_type_groups(filled: DataFrame) -> DataFrame:
     """(first_id, types, slot_sets, kind): equal filled texts under several task types; 'merge' if their slot sets are
     equal, else 'semantic collision'."""
-    one = filled.groupBy("filled", "task_type").agg(F.min_by(F.struct("id", "held"), "template_seq").alias("r"), F.min("template_seq").alias("s"))
-    g = one.groupBy("filled").agg(F.min_by("r.id", "s").alias("first_id"), F.count("*").alias("types"), F.count_distinct(F.array_sort("r.held")).alias("slot_sets"))
+    g = _cross_type(filled).groupBy("filled").agg(F.min_by("id", "template_seq").alias("first_id"), F.count("*").alias("types"), F.count_distinct("held").alias("slot_sets"))
     return g.where("types > 1").select("first_id", "types", "slot_sets", F.when(F.col("slot_sets") == 1, "merge").otherwise("semantic collision").alias("kind"))
 
 
-def substitution_rates(templates: DataFrame, options: DataFrame, detector, fillings: int = 5) -> DataFrame:
-    """(id, ok, fail_rate) per task template with slots: of `fillings` fillings with values picked by hash, how many still
-    show an instruction (detector: text column -> boolean)."""
-    o = options.where(~X.blank("slot") & ~X.blank("value")).groupBy("slot", "value").agg(F.min("option_seq").alias("s"))
-    # A slot's values are numbered within shards, so no slot is ranked in one task beyond its picks: only the first by hash are kept.
-    ranked = o.withColumn("r", F.row_number().over(W.partitionBy("slot").orderBy(F.md5(F.concat("value", F.lit("|"), F.col("s").cast("string")))))).where(F.col("r") <= fillings).select("slot", "r", "value")
-    t = _templates(templates).where("level = 'task_type'").withColumn("held", F.array_distinct(X.placeholders(F.col("text")))).where(F.size("held") > 0)
-    s = t.select("id", "text", F.posexplode("held").alias("p", "slot")).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(fillings))))
-    pairs = s.join(ranked, ["slot", "r"], "left").groupBy("id", "text", "r").agg(F.array_sort(F.collect_list(F.struct("p", "slot", F.coalesce("value", "slot").alias("value")))).alias("pairs"))
-    done = pairs.withColumn("ok", detector(X.fill_all(F.col("text"), F.col("pairs"))).cast("int"))
-    return done.groupBy("id").agg(F.sum("ok").alias("ok"), F.round(1 - F.sum("ok") / F.lit(fillings), 2).alias("fail_rate"))
+def semantic_collisions(filled: DataFrame) -> DataFrame:
+    """(first_id, id, task_type, slots): the members of each group of templates that read the same under several task types
+    but have other slots: any two of a group collide."""
+    one = _cross_type(filled)
+    g = one.groupBy("filled").agg(F.min_by("id", "template_seq").alias("first_id"), F.count("*").alias("types"), F.count_distinct("held").alias("sets")).where("types > 1 and sets > 1")
+    return one.join(g, "filled").select("first_id", "id", "task_type", F.col("held").alias("slots"))
+
+
+def substitution_rates(templates: DataFrame, options: DataFrame, detector, fillings: int = 5, most: float = 0.4) -> DataFrame:
+    """(id, ok, fail_rate) of the task templates that fail in more than `most` of `fillings` fillings: each slot gets an
+    option that fits (any of the slot if none does, else the slot's name), picked by hash; a filling is right if it still
+    shows an instruction (detector: text column -> boolean)."""
+    from slotweave.operators.generate import drawn, number_of, pool
+
+    t = _templates(templates).where("level = 'task_type' and trim(task_type) <> ''").withColumn("held", F.array_distinct(X.placeholders(F.col("text")))).where(F.size("held") > 0)
+    s = t.select(F.col("id").alias("template"), F.col("task_type").alias("label"), F.posexplode("held").alias("p", "slot")).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(fillings))))
+    s = s.withColumn("h", number_of(F.concat_ws("|", "template", F.col("k").cast("string"), "slot")))
+    pairs = drawn(s, pool(templates, options)).groupBy(F.col("template").alias("id"), "k").agg(F.array_sort(F.collect_list(F.struct("p", "slot", F.coalesce("value", "slot").alias("value")))).alias("pairs"))
+    done = pairs.join(t.select("id", "text"), "id").withColumn("ok", detector(X.fill_all(F.col("text"), F.col("pairs"))).cast("int"))
+    rate = 1 - F.sum("ok") / F.lit(fillings)
+    return done.groupBy("id").agg(F.sum("ok").alias("ok"), F.round(rate, 2).alias("fail_rate"), rate.alias("_f")).where(F.col("_f") > most).drop("_f")

@@ -253,7 +253,7 @@ def reusable_filter(s, d):
 
 @_query
 def slot_coverage(s, d):
-    return store.slot_coverage(_t(s, d), _o(s, d), least=40)
+    return store.slot_coverage(_t(s, d), _o(s, d))
 
 
 @_query
@@ -275,11 +275,15 @@ def cross_type_collisions(s, d):
     return store.cross_type_groups(_filled(s, d))
 
 
+@_query
+def semantic_collisions(s, d):
+    return store.semantic_collisions(_filled(s, d))
+
+
 @_query
 def substitution_rates(s, d):
-    names = detect.label_flag
-    every = [p for name, level, ps in V.LABELS if level == "task_type" for p in ps]
-    return store.substitution_rates(_t(s, d), _o(s, d), lambda c: names(c, every)).where("fail_rate > 0.4")
+    every = [p for _, level, ps in V.LABELS if level == "task_type" for p in ps]
+    return store.substitution_rates(_t(s, d), _o(s, d), lambda c: detect.label_flag(c, every))
 
 
 # vectors
@@ -327,7 +331,9 @@ def augment_combos(s, d):
 
 @_query
 def seed_selection(s, d):
-    return generate.seeds(_o(s, d))
+    """Up to 500 seeds from the slots of the catalog that hold one thing each."""
+    content = read(s, d, "slot_catalog").where("not list_like").select(F.col("slot_name").alias("slot"))
+    return generate.seeds(_o(s, d), content, 500)
 
 
 @_query
@@ -340,8 +346,18 @@ def merge_augmented(s, d):
 
 @_query
 def generate_parallel(s, d):
-    p = generate.generate(_t(s, d), _o(s, d), 2000)
-    return p.select("prompt_no", "task_id", F.array_join("constraint_ids", "|").alias("constraint_ids"), F.md5("prompt").alias("prompt_md5"), F.col("density").cast("long").alias("density"), "combo_id")
+    return _generated(generate.generate(_t(s, d), _o(s, d), 2000))
+
+
+@_query
+def generate_window(s, d):
+    """Four instructions a prompt, of 20 to 60 words, in up to three tries."""
+    return _generated(generate.generate(_t(s, d), _o(s, d), 1000, density=4, min_tokens=20, max_tokens=60))
+
+
+def _generated(p):
+    flat = [_joined(c) for c in ("constraint_template_ids", "option_ids", "active_labels", "constraints")]
+    return p.select("prompt_no", F.col("try").cast("long").alias("try"), F.md5("prompt").alias("prompt_md5"), "task_template_id", *flat, "task", F.col("density").cast("long").alias("density"), F.col("token_length").cast("long").alias("token_length"), "combo_id")
 
 
 @_query

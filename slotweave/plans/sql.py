@@ -116,6 +116,51 @@ select prompt_id, into_idx as seg_idx, arg_min(label, abs(seg_idx - into_idx)) a
 string_agg(span_text, ' ' order by case when only_tasks then seg_idx when seg_idx = into_idx then -1 else seg_idx end) as span_text from a group by prompt_id, into_idx"""
 
 
+_NUMBER = lambda k: f"('0x' || left(md5({k}), 8))::bigint"
+_STRIP = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+_CROSS = """x as (select filled, coalesce(task_type, '') as task_type, min(template_seq) as s, arg_min(id, template_seq) as id, arg_min(array_to_string(list_sort(held), '|'), template_seq) as held from filled group by 1, 2),
+g as (select filled, arg_min(id, s) as first_id, count(*) as types, count(distinct held) as slot_sets from x group by 1 having count(*) > 1)"""
+#: The numbered lists of options that a template's slot draws from.
+_POOLS = f"""{_T1}, {_O1}, own as (select * from o1 where not coalesce(list_contains(types, '_universal'), false)),
+lists as (select slot, 'a' as l, id, value from o1 union all select slot, 'u', id, value from o1 where list_contains(types, '_universal') union all select slot, 't|' || y, id, value from (select slot, id, value, unnest(list_distinct(types)) as y from own)
+union all select e.slot, 'i|' || e.tid, e.id, e.value from (select slot, id, value, types, unnest(list_distinct(templates)) as tid from own) e join t1 on t1.id = e.tid where not coalesce(list_contains(e.types, coalesce(t1.task_type, '')), false)),
+pool as (select slot, l, id, value, row_number() over (partition by slot, l order by md5(id)) - 1 as rank, count(*) over (partition by slot, l) as size from lists), sizes as (select slot, l, size from pool where rank = 0)"""
+_DRAWN = """need as (select *, coalesce((select size from sizes z where z.slot = asked.slot and l = 'u'), 0) as nu, coalesce((select size from sizes z where z.slot = asked.slot and l = 't|' || label), 0) as nt,
+coalesce((select size from sizes z where z.slot = asked.slot and l = 'i|' || template), 0) as ni, coalesce((select size from sizes z where z.slot = asked.slot and l = 'a'), 0) as na from asked),
+pick as (select *, case when nu + nt + ni > 0 then h % (nu + nt + ni) when na > 0 then h % na end as r from need),
+place as (select *, case when nu + nt + ni = 0 then 'a' when r < nu then 'u' when r < nu + nt then 't|' || label else 'i|' || template end as l, case when nu + nt + ni = 0 or r < nu then r when r < nu + nt then r - nu else r - nu - nt end as rk from pick),
+drawn as (select place.*, pool.id as option_id, pool.value from place left join pool on pool.slot = place.slot and pool.l = place.l and pool.rank = place.rk)"""
+
+
+def _generate(n: int, density: int, least: int, most: int, tries: int) -> str:
+    k = lambda *p: _NUMBER(" || '|' || ".join(["'42'", "prompt_no", "try", *p]))
+    first = "case when position('{' || q.s || '}' in acc) > 0 then left(acc, position('{' || q.s || '}' in acc) - 1) || q.v || substr(acc, position('{' || q.s || '}' in acc) + len('{' || q.s || '}')) else acc end"
+    first = first.replace("q.s", "split_part(q, chr(1), 1)").replace("q.v", "split_part(q, chr(1), 2)")
+    words = _WORDS("prompt")
+    return f"""with {_POOLS},
+rk as (select id, text, coalesce(task_type, '') as label, level, level = 'task_type' as task, list_filter({_UNIQ(_PH('text'))}, lambda x: x <> 'constraints') as held from t1 where level is not null),
+num as (select *, row_number() over (partition by task, label order by md5(id)) - 1 as rank, count(*) over (partition by task, label) as size from rk),
+shares as (select task, label, max(size) as size, ceil(sqrt(max(size)))::bigint as w from num group by 1, 2), cum as (select *, coalesce(sum(w) over (partition by task order by label rows between unbounded preceding and 1 preceding), 0)::bigint as b from shares),
+units as (select task, label, size, unnest(range(b, b + w)) as unit from cum), tot as (select sum(w) filter (where task)::bigint as wt, sum(w) filter (where not task)::bigint as wr from shares),
+tries as (select prompt_no, try, wt, wr from (select unnest(range({n})) as prompt_no), (select unnest(range({tries})) as try), tot),
+tasks as (select a.prompt_no, a.try, -1 as place, num.id as template, num.label, num.text, num.held from (select prompt_no, try, label, {k("'task'")} % size as rank from tries join units on units.task and unit = prompt_no * wt // {n}) a join num on num.task and num.label = a.label and num.rank = a.rank),
+draws as (select prompt_no, try, place, label, {k("'rule'", "place")} % size as rank from (select *, {k("'label'", "place")} % wr as u from tries, (select unnest(range({4 * (density - 1)})) as place)) x join units on not units.task and unit = u),
+r1 as (select d.prompt_no, d.try, d.place, num.id as template, num.label, num.text, num.held, num.level from (select * from draws qualify row_number() over (partition by prompt_no, try, label order by place) = 1) d join num on not num.task and num.label = d.label and num.rank = d.rank),
+r2 as (select * from r1 qualify row_number() over (partition by prompt_no, try, level order by place) <= 2), r3 as (select * from r2 qualify row_number() over (partition by prompt_no, try order by place) <= {density - 1}),
+parts as (select * from tasks union all select * exclude (level) from r3),
+asked as (select *, {k("place", "slot")} as h from (select prompt_no, try, place, template, label, unnest(held) as slot, generate_subscripts(held, 1) as p from parts)), {_DRAWN},
+fills as (select prompt_no, try, place, list(slot || chr(1) || coalesce(value, case when slot = 'n' then (h % 8 + 3)::varchar else '...' end) order by p) as f, list(option_id order by p) filter (where option_id is not null) as os, list(value order by p) filter (where option_id is not null) as vs from drawn group by 1, 2, 3),
+said0 as (select parts.*, coalesce(os, []) as os, coalesce(vs, []) as vs, list_reduce(list_prepend(text, coalesce(f, [])), lambda acc, q: {first}) as x from parts left join fills using (prompt_no, try, place)),
+said as (select * exclude (x), case when place >= 0 then {_STRIP("replace(x, '{constraints}', '')")} else x end as said from said0),
+g as (select prompt_no, try, max(said) filter (where place = -1) as t, max(template) filter (where place = -1) as task_template_id, max(label) filter (where place = -1) as task,
+coalesce(string_agg(said, e'\\n' order by place) filter (where place >= 0 and said <> ''), '') as block, coalesce(list(template order by place) filter (where place >= 0 and said <> ''), []) as cs, coalesce(list(label order by place) filter (where place >= 0), []) as ls,
+flatten(list(os order by place) filter (where place = -1 or said <> '')) as os, flatten(list(vs order by place) filter (where place = -1 or said <> '')) as vs, count(*) as density from said group by 1, 2 having max(said) filter (where place = -1) is not null),
+done as (select *, {_STRIP("case when contains(t, '{constraints}') then replace(t, '{constraints}', block) when block <> '' then t || e'\\n\\n' || block else t end")} as prompt from g),
+kept as (select *, {words} as token_length from done where {words} >= {least} and ({most} = 0 or {words} <= {most}) qualify row_number() over (partition by prompt_no order by try) = 1)
+select prompt_no, try, md5(prompt) as prompt_md5, task_template_id, array_to_string(cs, '|') as constraint_template_ids, array_to_string(os, '|') as option_ids, array_to_string(list_prepend(task, ls), '|') as active_labels, array_to_string(ls, '|') as constraints,
+task, density, token_length, left(md5(task || '|' || array_to_string(list_sort(ls), '|') || '|' || array_to_string(list_sort(vs), '|')), 12) as combo_id from kept"""
+
+
 def oracle_sql() -> dict[str, str]:
     q = {
         "load_user_prompts": f"with {_G} select id, len(prompt) as n_chars, {_WORDS('prompt')} as n_words from g where not {_BLANK('prompt')}",
@@ -166,11 +211,13 @@ o as (select coalesce({_CANON}, slot) as slot, value from task_options), e as (s
 k as (select slot, value, count(*) as n from e where not {_BLANK('slot')} and not {_BLANK('value')} and not regexp_matches(value, '\\{{\\w+\\}}') and slot in (select slot from used) group by 1, 2),
 m as (select text, level, count(*) as n from ok group by 1, 2)
 select 'templates' as kind, count(*) as n, sum(n)::bigint as copies from m union all select 'options', count(*), sum(n)::bigint from k""",
-        "substitution_rates": f"""with {_T1}, o as (select slot, value, min(option_seq) as s from task_options where not {_BLANK('slot')} and not {_BLANK('value')} group by 1, 2),
-r as (select slot, value, row_number() over (partition by slot order by md5(value || '|' || s)) as r from o), t as (select id, text, {_UNIQ(_PH('text'))} as held from t1 where level = 'task_type'),
-h as (select id, text, unnest(held) as slot, generate_subscripts(held, 1) as p from t where len(held) > 0), f as (select id, text, x.r, list(h.slot order by p) as ss, list(coalesce(value, h.slot) order by p) as vs from h cross join (select unnest(range(1, 6)) as r) x left join r on r.slot = h.slot and r.r = x.r group by 1, 2, 3),
-d as (select id, {_FLAG("list_reduce(list_prepend(text, list_transform(ss, lambda q, i: q || chr(1) || vs[i])), lambda acc, q: replace(acc, '{' || split_part(q, chr(1), 1) || '}', split_part(q, chr(1), 2)))", ["|".join(f"(?:{p})" for _, level, ps in V.LABELS if level == 'task_type' for p in ps)])}::int as ok from f)
-select id, sum(ok)::bigint as ok, round(1 - sum(ok) / 5, 2) as fail_rate from d group by 1 having round(1 - sum(ok) / 5, 2) > 0.4""",
+        "substitution_rates": f"""with {_POOLS}, c as (select id as template, task_type as label, text, {_UNIQ(_PH('text'))} as held from t1 where level = 'task_type' and trim(task_type) <> ''),
+asked as (select *, {_NUMBER("template || '|' || k || '|' || slot")} as h from (select template, label, unnest(held) as slot, generate_subscripts(held, 1) as p from c), (select unnest(range(1, 6)) as k)), {_DRAWN},
+f as (select template, k, list(struct_pack(p := p, s := slot, v := coalesce(value, slot)) order by p) as ps from drawn group by 1, 2),
+d as (select template, {_FLAG("list_reduce(list_prepend(text, list_transform(ps, lambda q: q.s || chr(1) || q.v)), lambda acc, q: replace(acc, '{' || split_part(q, chr(1), 1) || '}', split_part(q, chr(1), 2)))", ["|".join(f"(?:{p})" for _, level, ps in V.LABELS if level == 'task_type' for p in ps)])}::int as ok from f join c using (template))
+select template as id, sum(ok)::bigint as ok, round(1 - sum(ok) / 5, 2) as fail_rate from d group by 1 having 1 - sum(ok) / 5 > 0.4""",
+        "generate_parallel": _generate(2000, 3, 0, 0, 1),
+        "generate_window": _generate(1000, 4, 20, 60, 3),
         "content_ids": "select 'template' as kind, template_seq as seq, left(md5(task_type || '|' || text), 10) as new_id from task_templates union all select 'option', option_seq, left(md5(slot || '|' || value), 10) from task_options",
         "few_shot_fixes": """select template_seq, case when contains(replace(text, '{n}', '{number}'), 'and in all capital letters') or contains(replace(text, '{n}', '{number}'), 'should appear {number} or more times in your response') or contains(text, 'Include {metric} in {unit}.') then 'format_constraint' else level end as level,
 array_to_string([case when x = 'n' then 'number' else x end for x in slots], '|') as slots, md5(replace(text, '{n}', '{number}')) as text_md5 from task_templates""",
@@ -182,13 +229,13 @@ union all select 'level', coalesce(level, ''), count(*) from task_templates grou
         "undercovered_templates": f"with {_T1}, {_O1}, {_TS}, v as (select slot, count(distinct value) as v from o1 group by 1) select id, count(*) as n_slots from ts left join v using (slot) group by 1 having max(coalesce(v, 0)) <= 1",
         "reusable_filter": f"""with {_T1}, v as (select id, regexp_replace(text, '\\{{\\w+\\}}', '', 'g') as f, len(list_distinct({_PH('text')})) as n_slots from t1), w as (select id, {_WORDS('f')} as framing, n_slots from v)
 select id, framing::int as framing, n_slots::int as n_slots, (not ((framing = 0 and n_slots = 1) or framing > 20))::int as kept from w""",
-        "slot_coverage": f"with {_COMPAT} select id, slot, usable from compat where usable < 40",
+        "slot_coverage": f"""with {_T1}, {_O1}, {_TS}, a as (select slot, task_type, count(*) as a from (select slot, unnest(list_distinct(types)) as task_type from o1) group by 1, 2), b as (select slot, count(*) as b from o1 group by 1)
+select id, slot, coalesce(a, b, 0) as usable from ts left join a using (slot, task_type) left join b using (slot) where coalesce(a, b, 0) < 3""",
         "first_fill": f"with {_fill()} select id, md5(filled) as filled_md5 from filled",
-        "same_type_collisions": f"""with {_fill()}, m as (select *exclude (filled), left(regexp_replace(lower(filled), '[0-9]+', '0', 'g'), 24) as filled from filled), f as (select filled, task_type, arg_min(id, template_seq) as first_id from m group by 1, 2 having count(*) > 1)
-select first_id, id as other_id from m join f on f.filled = m.filled and f.task_type = m.task_type where id <> first_id""",
-        "cross_type_collisions": f"""with {_fill()}, m as (select *exclude (filled), left(regexp_replace(lower(filled), '[0-9]+', '0', 'g'), 24) as filled from filled),
-o as (select filled, task_type, arg_min(struct_pack(id := id, held := array_to_string(list_sort(held), '|')), template_seq) as r, min(template_seq) as s from m group by 1, 2)
-select arg_min(r.id, s) as first_id, count(*) as types, count(distinct r.held) as slot_sets, case when count(distinct r.held) = 1 then 'merge' else 'semantic collision' end as kind from o group by filled having count(*) > 1""",
+        "same_type_collisions": f"""with {_fill()}, f as (select filled, task_type, arg_min(id, template_seq) as first_id from filled group by 1, 2 having count(*) > 1)
+select first_id, id as other_id from filled m join f on f.filled = m.filled and f.task_type is not distinct from m.task_type where id <> first_id""",
+        "cross_type_collisions": f"""with {_fill()}, {_CROSS} select first_id, types, slot_sets, case when slot_sets = 1 then 'merge' else 'semantic collision' end as kind from g""",
+        "semantic_collisions": f"""with {_fill()}, {_CROSS} select first_id, id, task_type, held as slots from x join g using (filled) where slot_sets > 1""",
         "cosine_topk": f"""select query_id, vec_id, score, rank from (select a.vec_id as query_id, b.vec_id, round({_DOT('a.embedding', 'b.embedding')}, 6) as score, row_number() over (partition by a.vec_id order by round({_DOT('a.embedding', 'b.embedding')}, 6) desc, b.vec_id)::int as rank
 from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0 and {_DOT('a.embedding', 'b.embedding')} >= 0.3) where rank <= 10""",
         "type_means": f"with {_MEANS} select label, generate_subscripts(e, 1) - 1 as i, round(unnest(e), 5) as x from unit",
@@ -196,8 +243,9 @@ from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 100
         "augment_numeric": f"select label, task_type, unnest(range(lo, hi + 1, step))::varchar as value, 'number' as slot from {_NUMERIC}",
         "augment_pools": f"with {_NEW} select slot, value, id from fresh",
         "augment_combos": _COMBO,
-        "seed_selection": f"""select slot, option_seq from task_options where not {_BLANK('slot')} and not {_BLANK('value')} and token_length between 2 and 500 and source_option_id is null and coalesce(source, '') <> 'augmented'
-qualify row_number() over (partition by slot order by md5(option_seq::varchar), option_seq) <= 5""",
+        "seed_selection": f"""with o as (select * from (select * from task_options where not {_BLANK('slot')} and not {_BLANK('value')} and token_length between 2 and 500 and source_option_id is null and coalesce(source, '') <> 'augmented' qualify row_number() over (partition by id order by option_seq) = 1)
+where slot in (select slot_name from slot_catalog where not list_like)), n as (select count(*) as a, count(distinct slot) as s from o), r as (select *, row_number() over (partition by slot order by md5(id)) as r from o)
+select option_seq, id, slot, value from r, n where a <= 500 or r <= greatest(1, floor(500 / s))""",
         "merge_augmented": f"with {_NEW} select slot, count(*) as n from (select slot from task_options union all select slot from fresh) where not {_BLANK('slot')} group by 1",
         "token_window": f"with {_G} select id from g where {_WORDS('prompt')} between 20 and 200",
         "feasible_density": f"""with {_COMPAT} select id, round(case when min(usable) > 0 then sum(log10(greatest(usable, 1))) end, 6) as feasible_log10, round(case when min(in_slot) > 0 then sum(log10(greatest(in_slot, 1))) end, 6) as full_log10 from compat group by 1""",

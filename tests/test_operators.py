@@ -131,7 +131,7 @@ def test_generate_is_repeatable(spark):
 
 def test_numbered_ranks_are_dense(spark):
     df = spark.range(500).select((F.col("id") % 3).alias("g"), "id")
-    got = generate.numbered(df, "g", "id").groupBy("g").agg(F.count_distinct("rank").alias("n"), F.max("rank").alias("m"), F.max("size").alias("s")).collect()
+    got = generate.numbered(df, ["g"], F.col("id").cast("string")).groupBy("g").agg(F.count_distinct("rank").alias("n"), F.max("rank").alias("m"), F.max("size").alias("s")).collect()
     assert all(r["n"] == r["m"] + 1 == r["s"] for r in got)
 
 
