@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slotweave.operators.skew import lookup
 from slotweave.session import opened, share
 
 
@@ -38,10 +39,21 @@ class HashEmbedder:
         return np.stack(hashed_vector(pd.Series(texts))) if texts else np.empty((0, 256))
 
 
+class WordEmbedder:
+    """An offline embedder by words alone."""
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        from slotweave.operators.vectors import word_vectors
+
+        return np.stack(word_vectors(texts)) if texts else np.empty((0, 256))
+
+
 def generated(df: DataFrame, prompt: str, make: Callable[[], Generator], batch: int = 64) -> DataFrame:
     """df (with a column `key`) as (key, reply): the backend is made once a task; a prompt that fails gets a null reply."""
     shared = share(df.sparkSession, make)
 
+    kind = df.schema["key"].dataType.simpleString()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         backend = opened(shared)()
         for b in batches:
@@ -55,7 +67,7 @@ def generated(df: DataFrame, prompt: str, make: Callable[[], Generator], batch:
                     replies += [None] * len(part)
             yield pd.DataFrame({"key": b["key"], "reply": replies})
 
-    return df.select("key", prompt).mapInPandas(run, "key long, reply string")
+    return df.select("key", prompt).mapInPandas(run, f"key {kind}, reply string")
 
 
 def embedded(df: DataFrame, text: str, make: Callable[[], Embedder]) -> DataFrame:
@@ -65,10 +77,12 @@ def embedded(df: DataFrame, text: str, make: Callable[[], Embedder]) -> DataFram
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         backend = opened(shared)()
         for b in batches:
+            if not len(b):
+                continue
             yield pd.DataFrame({text: b[text], "embedding": list(backend.embed(list(b[text])))})
 
     one = df.select(text).where(F.col(text).isNotNull()).distinct().mapInPandas(run, f"`{text}` string, embedding array<double>")
-    return df.join(one, text, "left")
+    return lookup(df, one, [text], F.monotonically_increasing_id(), "left")
 
 
 def messages(system: str, examples: list[tuple[str, str]], prompt: str):

@@ -376,3 +376,60 @@ LETTERS = list("aeioustrnlc")
 
 FORBIDDEN_WORDS = """very really things stuff nice good bad important interesting basically actually literally amazing awesome
 great fantastic wonderful terrible horrible absolutely definitely extremely""".split()
+
+#: Slots that stay as they are; an option that only repeats the name of one says nothing.
+PREFERRED_SLOTS = "text_type unit number source_passage problem_statement code_snippet example_context factual_background input_data".split()
+
+#: Where options go that only repeat their slot's name, by value or slot.
+SELF_NAMED = {
+    slot: words.split()
+    for slot, words in {
+        "writing_tone": "formal informal professional casual humorous friendly serious sarcastic neutral polite academic analytical",
+        "writing_style": "creative",
+        "text_type": "bullet bullets list json table markdown",
+        "entity_type": "people persons thing things item items",
+        "character_name": "character characters",
+        "entity_name": "name names",
+        "subject_area": "topics",
+        "target_word": "word words",
+        "keyword_tag": "tag tags hashtag hashtags",
+        "text_section": "section sections sentence sentences paragraph paragraphs postscript",
+    }.items()
+}
+
+#: Object nouns by the task that they name.
+TASK_OBJECTS = {
+    "summarization": "summary summaries synopsis abstract overview gist",
+    "creative_writing": "story stories poem poems essay essays letter song narrative novel blog",
+    "code_generation": "code program function algorithm implementation",
+    "translation": "translation translations",
+    "classification": "classification sentiment opinion",
+    "explanation": "explanation explanations definition definitions meaning",
+    "question_answering": "question questions answer answers",
+    "brainstorming": "ideas suggestions examples reasons ways tips options alternatives list lists",
+    "planning": "plan schedule itinerary roadmap",
+    "data_analysis": "analysis report chart graph",
+    "dialogue_generation": "dialogue conversation chat",
+    "rewriting_paraphrasing": "paraphrase",
+    "information_extraction": "entities names",
+    "mathematical_reasoning": "equation calculation",
+    "ranking_comparison": "comparison ranking",
+    "fact_verification": "fact claim",
+    "text_completion": "sentence paragraph",
+}
+
+#: The task of a verb whose object names none.
+VERB_TASKS = {
+    "summarize": "summarization", "classify": "classification", "translate": "translation", "compare": "ranking_comparison", "analyze": "data_analysis",
+    "explain": "explanation", "plan": "planning", "solve": "mathematical_reasoning", "extract": "information_extraction", "edit": "rewriting_paraphrasing",
+    "rank": "ranking_comparison", "argue": "argumentation", "predict": "prediction", "define": "explanation", "suggest": "brainstorming", "list": "brainstorming",
+    "answer": "question_answering", "convert": "conversion",
+}
+
+#: Corrections of single templates by id.
+LEVEL_FIXES = {
+    "949ef12351": "format_constraint", "7054774d53": "format_constraint", "e28f5a789b": "format_constraint", "27bd8f4114": "format_constraint",
+    "99d574dacd": "format_constraint", "b943f4a7ab": "format_constraint", "f2de5b52d3": "format_constraint", "7cae2d01fc": "format_constraint",
+    "e845227cc7": "content_style_constraint",
+}
+CONSTRAINT_RENAMES = ["369c0ad2aa", "e5617457ac"]

@@ -8,9 +8,9 @@ from slotweave.functions import text as X
 
 
 def deliveries(prompts: DataFrame) -> DataFrame:
-    """One row a prompt id: its earliest delivery."""
+    """One row a prompt id: its earliest delivery, of equally early ones the least by a hash of the row."""
     rest = [c for c in prompts.columns if c != "id"]
-    return prompts.groupBy("id").agg(F.min_by(F.struct(*rest), "loaded_at").alias("r")).select("id", "r.*")
+    return prompts.groupBy("id").agg(F.min_by(F.struct(*rest), F.struct("loaded_at", F.xxhash64(*rest))).alias("r")).select("id", "r.*")
 
 
 def labels_of(prompts: DataFrame) -> DataFrame:
@@ -125,6 +125,20 @@ def sparsity(prompts: DataFrame, leaves: DataFrame) -> DataFrame:
     )
 
 
+def sparsity_summary(prompts: DataFrame, leaves: DataFrame) -> DataFrame:
+    """One row: mean number of labels of the taxonomy that a prompt has, their share of all labels, what that says of it
+    (below 0.1 good, below 0.2 fair, else dense), and how many labels are dead or rare."""
+    known = leaves.select(F.lower(F.trim("label")).alias("label")).distinct()
+    active = labels_of(prompts).join(F.broadcast(known), "label", "left_semi").agg(F.count("*").alias("active"))
+    n = deliveries(prompts.select("id", "loaded_at")).agg(F.count("*").alias("n"))
+    marks = sparsity(prompts, leaves).join(F.broadcast(known), "label", "left_semi").agg(F.count_if(F.col("verdict") == "dead").alias("dead"), F.count_if(F.col("verdict") == "rare").alias("rare"))
+    mean = F.col("active") / F.col("n")
+    share = mean / F.col("l")
+    return n.crossJoin(active).crossJoin(known.agg(F.count("*").alias("l"))).crossJoin(marks).select(
+        F.round(mean, 4).alias("mean_active"), F.round(share, 4).alias("fraction_active"), F.when(share < 0.1, "good").when(share < 0.2, "fair").otherwise("dense").alias("verdict"), "dead", "rare"
+    )
+
+
 def gram(prompts: DataFrame, leaves: DataFrame) -> tuple[list[str], np.ndarray, int]:
     """Labels of the taxonomy, how many prompts have each pair of them, number of prompts. The counts are made in Spark;
     labels x labels numbers come to the driver, and the taxonomy bounds the labels."""

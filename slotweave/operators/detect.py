@@ -6,10 +6,10 @@ optimizer puts a filter on the array's size below the exchange, which runs all p
 import re
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slotweave.functions import values as V
-from slotweave.session import width
 
 
 def label_flag(text: Column, patterns: list[str]) -> Column:
@@ -20,8 +20,13 @@ def label_flag(text: Column, patterns: list[str]) -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread rows over all cores before work that is bound by regular expressions: files may hold one row group."""
-    return df.repartition(width(df.sparkSession))
+    """Rows spread over all cores before work that is bound by regular expressions, where the input is too small to be read
+    by as many tasks (files of one row group); larger texts stay where they are read."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return df.repartition(cores) if size < cores * split else df
 
 
 def detect(df: DataFrame, text: str, labels=V.LABELS) -> DataFrame:
@@ -81,14 +86,38 @@ def object_noun(phrase: Column) -> Column:
     return F.get(F.filter(words, lambda w: (F.length(w) >= 3) & ~F.array_contains(skip, w)), F.lit(0))
 
 
-def object_clusters(phrases: DataFrame, least: int = 50, top: int = 20) -> DataFrame:
-    """The `top` objects named most often with any verb: (object, n, verbs); at least `least` times, no generic ones."""
-    generic = F.array(*[F.lit(w) for w in sorted(V.GENERIC_OBJECTS)])
-    named = phrases.withColumn("object", object_noun(F.col("phrase"))).where(F.col("object").isNotNull() & ~F.array_contains(generic, F.col("object")))
-    return (
-        named.groupBy("object").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("canon")), ",").alias("verbs"))
-        .where(F.col("n") >= least).orderBy(F.col("n").desc(), "object").limit(top)
-    )
+def resolved(phrases: DataFrame, labels=V.LABELS) -> DataFrame:
+    """phrases with object and task: the task that the object names, else that of the verb, else the first label whose
+    pattern is found in 'verb object'; null if none."""
+    by_object = F.create_map(*[F.lit(x) for t, ws in V.TASK_OBJECTS.items() for w in ws.split() for x in (w, t)])
+    by_verb = F.create_map(*[F.lit(x) for kv in V.VERB_TASKS.items() for x in kv])
+    p = phrases.withColumn("object", object_noun(F.col("phrase")))
+    snippet = F.concat_ws(" ", "verb", "object")
+    found = F.coalesce(*[F.when(label_flag(snippet, ps), F.lit(name)) for name, _, ps in labels])
+    return p.withColumn("task", F.coalesce(F.element_at(by_object, F.col("object")), F.element_at(by_verb, F.col("canon")))).withColumn("task", F.when(F.col("task").isNotNull(), F.col("task")).otherwise(found))
+
+
+def mined_tasks(phrases: DataFrame, least: int = 15, labels=V.LABELS) -> DataFrame:
+    """(task, n, known): tasks named `least` times or more; known if a label has that name, else a label to be made."""
+    names = [name for name, _, _ in labels]
+    return resolved(phrases, labels).where("task is not null").groupBy("task").agg(F.count("*").alias("n")).where(F.col("n") >= least).withColumn("known", F.col("task").isin(*names))
+
+
+def object_clusters(phrases: DataFrame, least: int = 50, top: int = 20, labels=V.LABELS) -> DataFrame:
+    """(object, n, verbs): of the `top` objects named most often in phrases without a task those named at least `least` times
+    that are not generic and match no label: labels to be made."""
+    free = resolved(phrases, labels).where("task is null and object is not null")
+    often = free.groupBy("object").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("canon")), ",").alias("verbs")).orderBy(F.col("n").desc(), "object").limit(top)
+    every = [p for _, _, ps in labels for p in ps]
+    return often.where((F.col("n") >= least) & ~F.col("object").isin(*sorted(V.GENERIC_OBJECTS)) & ~label_flag(F.col("object"), every))
+
+
+def top_categories(df: DataFrame, by: str, column: str, top: int = 20) -> DataFrame:
+    """(by, categories): each group's `top` categories as 'name(count)', most frequent first."""
+    n = df.where(F.trim(column) != "").groupBy(by, F.lower(F.trim(column)).alias("category")).agg(F.count("*").alias("n"))
+    first = n.withColumn("r", F.row_number().over(W.partitionBy(by).orderBy(F.col("n").desc(), "category"))).where(F.col("r") <= top)
+    said = F.transform(F.array_sort(F.collect_list(F.struct("r", F.concat("category", F.lit("("), F.col("n").cast("string"), F.lit(")")).alias("s")))), lambda x: x["s"])
+    return first.groupBy(by).agg(F.array_join(said, ", ").alias("categories"))
 
 
 def categories(df: DataFrame, column: str) -> DataFrame:

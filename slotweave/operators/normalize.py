@@ -8,12 +8,6 @@ from slotweave.functions import text as X
 from slotweave.functions import values as V
 
 
-def first_by(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The row of each key that comes first in `order` (unique); partial aggregation, so a hot key is no hot task."""
-    rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_r")).select(*keys, "_r.*").select(*df.columns)
-
-
 def renamed_slots(options: DataFrame) -> DataFrame:
     """(slot, canonical, n) for each distinct slot name that has a canonical form."""
     names = options.where(~X.blank("slot")).groupBy("slot").agg(F.count("*").alias("n"))
@@ -66,14 +60,6 @@ def merged_templates(templates: DataFrame) -> DataFrame:
     return folded.groupBy("text", "level").agg(F.min("_seq").alias("template_seq"), F.min_by("id", "_seq").alias("id"), F.sum("_n").alias("n"), links.alias("compatible_with"))
 
 
-def replace_map(templates: DataFrame) -> DataFrame:
-    """(old_id, kept_id): ids of templates dropped as duplicates by (text, level) and what they became."""
-    t = templates.where(~X.blank("text"))
-    kept = t.groupBy("text", "level").agg(F.min_by("id", "template_seq").alias("kept_id"))
-    ids = t.groupBy("text", "level", "id").agg(F.min("template_seq").alias("s"))
-    return ids.join(kept, ["text", "level"]).where("id <> kept_id").groupBy(F.col("id").alias("old_id")).agg(F.min_by("kept_id", "s").alias("kept_id"))
-
-
 def merged_options(options: DataFrame, keys: tuple[str, ...] = ("slot", "value")) -> DataFrame:
     """One row per (slot, value): the first, with the distinct compatibility lists of all appended in order."""
     o = options.where(~X.blank("slot") & ~X.blank("value")).withColumnRenamed("option_seq", "_seq")
@@ -103,18 +89,6 @@ def relinked(templates: DataFrame, options: DataFrame) -> DataFrame:
     )
 
 
-def self_replicating(options: DataFrame) -> DataFrame:
-    """Options that only repeat their slot's name (equal, or under three words and the slot within the value), with the
-    slot they go to by task type: (option_seq, new_slot)."""
-    slot, value = F.lower(F.trim("slot")), F.lower(F.trim("value"))
-    same = (slot == value) | ((X.word_count(F.col("value")) < 3) & F.contains(value, slot))
-    default = F.create_map(*[F.lit(x) for kv in V.DEFAULT_SLOTS.items() for x in kv])
-    first = F.get(F.coalesce("compatible_task_types", F.array().cast("array<string>")), F.lit(0))
-    return options.where(~X.blank("slot") & ~X.blank("value") & same).select(
-        "option_seq", F.coalesce(X.canonical_slot(F.col("slot")), F.element_at(default, first), F.lit("subject_area")).alias("new_slot")
-    )
-
-
 def numbered_groups(templates: DataFrame) -> DataFrame:
     """(template_seq, base, members): slots of one template that differ in a trailing number only, two or more."""
     s = templates.select("template_seq", F.explode(F.array_distinct("slots")).alias("slot")).where(F.col("slot").rlike(r"^.+?[0-9]+$"))

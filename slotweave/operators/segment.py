@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slotweave.functions import values as V
+from slotweave.operators.skew import lookup
 
 SEGMENTS = "struct<segments:array<struct<span_text:string,taxonomy_label:string,level:string>>>"
 
@@ -56,6 +57,13 @@ def parsed_segments(replies: DataFrame, leaves: DataFrame) -> DataFrame:
     return ok.select("prompt_id", F.coalesce("seg_idx", F.lit(0)).alias("seg_idx"), F.coalesce("s.span_text", "reply").alias("span_text"), F.coalesce("_label", F.lit("description")).alias("label"), F.coalesce("_level", F.lit("task_type")).alias("level"), method.alias("method"))
 
 
+def with_source(segments: DataFrame, prompts: DataFrame, order: str) -> DataFrame:
+    """segments (source_prompt) with the source of their prompt: prompts has source_prompt and source; of equal prompts the
+    last in order counts, segments of unknown prompts get null."""
+    last = prompts.groupBy("source_prompt").agg(F.max_by("source", order).alias("source"))
+    return lookup(segments, last, ["source_prompt"], F.monotonically_increasing_id(), "left")
+
+
 def repaired(text: str) -> str | None:
     """The JSON object in a model's reply, as strict JSON; null if there is none. Takes out thinking and fences, finds the
     outermost object, mends quotes, bare keys, trailing commas and control characters, and closes what was cut off."""

@@ -19,3 +19,10 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, spre
     )
     right = right.withColumn("_part", F.explode(F.when(F.col(n) > hot_rows, F.sequence(F.lit(0), F.ceil(F.col(n) / hot_rows).cast("int") - 1)).otherwise(F.array(F.lit(0)))))
     return left.drop("_parts").join(right, [*keys, "_part"], how).drop("_part")
+
+
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """left joined with right, which has one row a key, when it isn't known how often left has the keys: they are counted
+    first (partial aggregation), and hot ones are spread."""
+    n = left.groupBy(*keys).agg(F.count("*").alias("_n"))
+    return salted_join(left, right.join(n, keys), keys, "_n", spread, how, hot_rows).drop("_n")

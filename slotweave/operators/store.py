@@ -52,13 +52,6 @@ def compatible_counts(templates: DataFrame, options: DataFrame) -> DataFrame:
     return out.select("id", "slot", (zero("a") + zero("b") + zero("u")).alias("matched"), zero("in_slot").alias("in_slot")).withColumn("usable", F.when(F.col("matched") > 0, F.col("matched")).otherwise(F.col("in_slot")))
 
 
-def tiers(templates: DataFrame, options: DataFrame, least: int = 3) -> DataFrame:
-    """(tier, n): template slots served by fitting options (1), needing the slot's other options as well (2), or none (3)."""
-    c = compatible_counts(templates, options)
-    tier = F.when(F.col("matched") >= least, 1).when(F.col("in_slot") > 0, 2).otherwise(3)
-    return c.groupBy(tier.alias("tier")).agg(F.count("*").alias("n"))
-
-
 def undercovered(templates: DataFrame, options: DataFrame) -> DataFrame:
     """Templates with slots of which none has more than one distinct value: (id, n_slots)."""
     values = _options(options).groupBy("slot").agg(F.count_distinct("value").alias("v"))
@@ -137,3 +130,46 @@ def substitution_rates(templates: DataFrame, options: DataFrame, detector, filli
     done = pairs.join(t.select("id", "text"), "id").withColumn("ok", detector(X.fill_all(F.col("text"), F.col("pairs"))).cast("int"))
     rate = 1 - F.sum("ok") / F.lit(fillings)
     return done.groupBy("id").agg(F.sum("ok").alias("ok"), F.round(rate, 2).alias("fail_rate"), rate.alias("_f")).where(F.col("_f") > most).drop("_f")
+
+
+def with_augmented(options: DataFrame, augmented: DataFrame) -> DataFrame:
+    """One row an id of the options and, behind them, the augmented ones: the first of each with the compatibility lists of
+    all in order, repeats dropped. Rows without id are left out."""
+    none = F.array().cast("array<string>")
+    lists = [c for c in ("compatible_task_types", "compatible_templates") if c in options.columns]
+    a = options.withColumn("_o", F.struct(F.lit(0).alias("x"), F.col("option_seq").alias("z")))
+    b = augmented.withColumn("_o", F.struct(F.lit(1).alias("x"), F.lit(0).cast("long").alias("z")))
+    both = a.unionByName(b, allowMissingColumns=True).where("id is not null")
+    # Equal lists of an id are folded first, so that many exact copies stay small.
+    folded = both.groupBy("id", *[F.coalesce(c, none).alias(c) for c in lists]).agg(F.min("_o").alias("_o"), F.min_by(F.struct("slot", "value"), "_o").alias("r"))
+    all_of = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_o", F.col(c).alias("a")))), lambda x: x["a"])))
+    return folded.groupBy("id").agg(F.min_by("r", "_o").alias("r"), *[all_of(c).alias(c) for c in lists]).select("id", "r.*", *lists)
+
+
+def find(templates: DataFrame, task_type: str | None = None, level: str | None = None, slot: str | None = None) -> DataFrame:
+    """Templates of a task type, a level and with a slot; filters that reach the files."""
+    for c, v in (("task_type", task_type), ("level", level)):
+        if v is not None:
+            templates = templates.where(F.col(c) == v)
+    return templates if slot is None else templates.where(F.array_contains("slots", slot))
+
+
+def degenerate(templates: DataFrame, source: str = "ablation_degenerate") -> DataFrame:
+    """(id, text) of templates that only test what degenerate text does."""
+    return templates.where(F.col("source") == source).select("id", "text")
+
+
+def validation(templates: DataFrame, options: DataFrame, detector, fillings: int = 5, least: int = 3) -> dict[str, DataFrame]:
+    """All tests of a store, as sections of a report (sources.writers.save_report writes it). Nothing is changed or halted."""
+    filled = first_fill(templates, options)
+    groups = cross_type_groups(filled)
+    return {
+        "substitution_failures": substitution_rates(templates, options, detector, fillings),
+        "same_type_merges": same_type_collisions(filled),
+        "cross_type_merges": groups.where("kind = 'merge'"),
+        "semantic_collisions": groups.where("kind <> 'merge'"),
+        "undercovered_slots": slot_coverage(templates, options, least),
+        "degenerate_templates": degenerate(templates),
+        "templates_tested": _templates(templates).select("id"),
+        "options_tested": _options(options).select("id"),
+    }

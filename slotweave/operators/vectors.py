@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from slotweave.session import opened, share
+from slotweave.session import cut, opened, share
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -16,41 +16,47 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 50, least: float = 0.7, block: int = 2048) -> DataFrame:
-    """(query_id, vec_id, score, rank): for each query the k nearest vectors (unit length) with a cosine of at least
-    `least`; a vector isn't its own neighbour; ties by vec_id; null vectors take no part.
+    """(query_id, vec_id, score, rank): for each query the k nearest vectors (unit length) with a cosine (to 6 places) of at
+    least `least`; ids are numbers or strings; a vector isn't its own neighbour; ties by vec_id; null vectors take no part.
 
     queries is a stated set (query_id, embedding) that streams in blocks of `block` to the vectors: each task keeps its k
     best for a block, so the merge gets at most k rows per query and task."""
     out = None
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {vectors.schema['vec_id'].dataType.simpleString()}, score double"
     n = queries.count()
     blocks = max(1, -(-n // block))
     for i in range(blocks):
         part = queries.where(F.col("embedding").isNotNull() & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)).collect()
         if not part:
             continue
-        q = share(vectors.sparkSession, (np.array([r["query_id"] for r in part]), np.array([r["embedding"] for r in part], dtype=np.float64)))
+        q = share(vectors.sparkSession, ([r["query_id"] for r in part], np.array([r["embedding"] for r in part], dtype=np.float64)))
 
         def run(batches: Iterator[pd.DataFrame], q=q) -> Iterator[pd.DataFrame]:
-            ids, m = opened(q)
+            names, m = opened(q)
+            ids = np.asarray(names)
             best: list[tuple] = []
             for b in batches:
                 b = b[b["embedding"].notna()]
                 if not len(b):
                     continue
-                v = np.array(b["vec_id"])
+                v = np.asarray(b["vec_id"].tolist())
                 s = np.stack(b["embedding"].to_numpy()).astype(np.float64) @ m.T
-                at, to = np.nonzero((s >= least) & (v[:, None] != ids[None, :]))
-                best.append((ids[to], v[at], s[at, to]))
+                at, to = np.nonzero(np.round(s, 6) >= least)
+                other = v[at] != ids[to] if v.dtype.kind == ids.dtype.kind else np.ones(len(at), bool)
+                at, to = at[other], to[other]
+                best.append((to, v[at], s[at, to]))
                 if sum(len(x[0]) for x in best) > 500_000:
                     best = [_keep(best, k)]
             if best:
                 a, v, s = _keep(best, k)
-                yield pd.DataFrame({"query_id": a, "vec_id": v, "score": s})
+                if not len(a):
+                    return
+                yield pd.DataFrame({"query_id": [names[i] for i in a], "vec_id": v.tolist(), "score": s})
 
-        one = vectors.select("vec_id", "embedding").mapInPandas(run, "query_id long, vec_id long, score double")
+        one = vectors.select("vec_id", "embedding").mapInPandas(run, schema)
         out = one if out is None else out.unionByName(one)
     if out is None:
-        out = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+        out = vectors.sparkSession.createDataFrame([], schema)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return out.withColumn("score", F.round("score", 6)).withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -74,6 +80,7 @@ def means(vectors: DataFrame, by: str) -> DataFrame:
 def links(groups: DataFrame, key: str, least: float) -> DataFrame:
     """(a, b, score) for a < b: pairs of groups whose means have a cosine of at least `least`. groups is a small summary
     table: its size is checked."""
+    groups = cut(groups.select(key, "embedding"))
     n = groups.count()
     if n > 20_000:
         raise ValueError(f"{n} groups: use top_k")
@@ -122,6 +129,26 @@ def hashed_vector(texts: pd.Series, dims: int = 256) -> list[np.ndarray]:
     return out
 
 
+def word_vectors(texts: list[str], dims: int = 256) -> list[np.ndarray]:
+    """The plainest offline embedding: words of letters and figures by their md5, to unit length; null and empty texts get
+    zeros."""
+    import hashlib
+    import re
+
+    known: dict[str, int] = {}
+    out = []
+    for t in texts:
+        v = np.zeros(dims)
+        for w in re.findall(r"[A-Za-z0-9]+", t or ""):
+            w = w.lower()
+            h = known.get(w)
+            if h is None:
+                h = known[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+            v[h % dims] += 1 if h // dims % 2 == 0 else -1
+        out.append(v / (np.linalg.norm(v) or 1))
+    return out
+
+
 def slot_clusters(options: DataFrame, most: float = 0.35, examples: int = 8, max_slots: int = 5_000) -> DataFrame:
     """(slot, cluster): slots with two or more distinct values, clustered by the embedding of 'slot: values'. Average
     linkage needs all slots at once: their number is checked, rarer slots than the max_slots commonest stay out and get -1."""

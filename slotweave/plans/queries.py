@@ -17,7 +17,9 @@ def _query(f):
 
 
 def queries() -> dict:
-    return dict(_REGISTRY)
+    from slotweave.plans import pipeline
+
+    return _REGISTRY | pipeline.queries()
 
 
 def _t(s, d):
@@ -99,18 +101,6 @@ def verb_phrases(s, d):
     return detect.verb_phrases(_t(s, d).select("template_seq", "text"), "text").select("template_seq", F.col("pos").cast("long").alias("pos"), "verb", "canon", F.md5("phrase").alias("phrase_md5"))
 
 
-@_query
-def resolve_tasks(s, d):
-    """Verbs and the objects they are used with, seen 15 times or more."""
-    p = detect.verb_phrases(_t(s, d).select("template_seq", "text"), "text").withColumn("object", detect.object_noun(F.col("phrase")))
-    return p.where("object is not null").groupBy("canon", "object").agg(F.count("*").alias("n")).where("n >= 15")
-
-
-@_query
-def object_clusters(s, d):
-    return detect.object_clusters(detect.verb_phrases(_t(s, d).select("template_seq", "text"), "text"), least=10)
-
-
 @_query
 def constraint_hits(s, d):
     h = detect.constraint_hits(_t(s, d).select("template_seq", "text"), "text")
@@ -169,11 +159,6 @@ def dedup_templates(s, d):
     return normalize.merged_templates(_t(s, d)).select("template_seq", "id", "n", F.size("compatible_with").cast("long").alias("n_links"), F.md5(F.array_join("compatible_with", "|")).alias("links_md5"))
 
 
-@_query
-def replace_map(s, d):
-    return normalize.replace_map(_t(s, d).withColumn("text", F.regexp_replace(F.lower("text"), "[^a-z0-9{}]+", " ")))
-
-
 @_query
 def dedup_options(s, d):
     o = normalize.merged_options(_o(s, d))
@@ -190,11 +175,6 @@ def relink(s, d):
     return normalize.relinked(_t(s, d), _o(s, d))
 
 
-@_query
-def self_replicating(s, d):
-    return normalize.self_replicating(_o(s, d))
-
-
 @_query
 def numbered_slots(s, d):
     return normalize.numbered_groups(_t(s, d))
@@ -236,11 +216,6 @@ def compatible_options(s, d):
     return store.compatible_counts(_t(s, d), _o(s, d))
 
 
-@_query
-def tiered_options(s, d):
-    return store.tiers(_t(s, d), _o(s, d))
-
-
 @_query
 def undercovered_templates(s, d):
     return store.undercovered(_t(s, d), _o(s, d))
@@ -301,11 +276,6 @@ def type_means(s, d):
     return m.select("label", F.posexplode("embedding").alias("i", "x")).select("label", F.col("i").cast("long").alias("i"), F.round("x", 5).alias("x"))
 
 
-@_query
-def cross_links(s, d):
-    return vectors.links(vectors.means(read(s, d, "embeddings").select("label", "embedding"), "label"), "label", 0.1).select("a", "b", F.round("score", 4).alias("score"))
-
-
 @_query
 def slot_clusters(s, d):
     return vectors.slot_clusters(_o(s, d))
@@ -460,13 +430,3 @@ def merge_adjacent(s, d):
 def absorb_context(s, d):
     x = _segments(s, d).withColumn("label", F.when(F.col("label") == "explain_concept", "explanation").when(F.col("label") == "pull_out_facts", "information_extraction").otherwise(F.col("label")))
     return segment.absorbed_context(x)
-
-
-@_query
-def parse_segments(s, d):
-    """Replies made from templates, whole, fenced, cut off or no JSON at all, parsed back."""
-    body = F.to_json(F.struct(F.array(F.struct(F.col("text").alias("span_text"), F.col("task_type").alias("taxonomy_label"), F.col("level"))).alias("segments")))
-    k = F.col("template_seq") % 4
-    reply = F.when(k == 0, body).when(k == 1, F.concat(F.lit("<think>well</think>```json\n"), body, F.lit("\n```"))).when(k == 2, F.expr("substring(b, 1, length(b) - 3)")).otherwise(F.lit("no answer"))
-    r = _t(s, d).where(~X.blank("text")).withColumn("b", body).select(F.col("template_seq").alias("prompt_id"), reply.alias("reply"))
-    return segment.parsed_segments(r, read(s, d, "taxonomy_leaves")).groupBy("label", "level", "method").agg(F.count("*").alias("n"))

@@ -161,7 +161,7 @@ select prompt_no, try, md5(prompt) as prompt_md5, task_template_id, array_to_str
 task, density, token_length, left(md5(task || '|' || array_to_string(list_sort(ls), '|') || '|' || array_to_string(list_sort(vs), '|')), 12) as combo_id from kept"""
 
 
-def oracle_sql() -> dict[str, str]:
+def oracle_parts() -> dict[str, str]:
     q = {
         "load_user_prompts": f"with {_G} select id, len(prompt) as n_chars, {_WORDS('prompt')} as n_words from g where not {_BLANK('prompt')}",
         "cap_per_source": f"select source, doc_id from documents where not {_BLANK('text')} qualify row_number() over (partition by source order by doc_id) <= 20",
@@ -173,9 +173,6 @@ def oracle_sql() -> dict[str, str]:
 h as (select source, label, count(*) as hits from (select source, unnest(labels) as label from found) group by 1, 2) select h.source, label, hits, round(hits / n, 4) as prevalence from h join n on n.source = h.source where round(hits / n, 4) >= 0.03""",
         "presence_matrix": "select coalesce(level, '') as level, " + ", ".join(f"max({_FLAG('text', ps)}::int) as {n}" for n, _, ps in V.LABELS) + " from task_templates group by 1",
         "verb_phrases": f"with {_VERBS} select template_seq, pos, verb, canon, md5(phrase) as phrase_md5 from named",
-        "resolve_tasks": f"with {_VERBS} select canon, object, count(*) as n from named where object is not null group by 1, 2 having count(*) >= 15",
-        "object_clusters": f"""with {_VERBS} select object, count(*) as n, string_agg(distinct canon, ',' order by canon) as verbs from named where object is not null and not list_contains({_LIST(sorted(V.GENERIC_OBJECTS))}, object)
-group by 1 having count(*) >= 10 order by n desc, object limit 20""",
         "constraint_hits": f"with h as ({_constraints()}) select idx, level, label, count(*) as n, min(snippet) as example from h group by 1, 2, 3 having count(*) >= 3",
         "category_map": _categories(),
         "suggest_labels": f"with {_FOUND}, {_VERBS} select template_seq, label, sum(s)::bigint as score from (select template_seq, unnest(labels) as label, 2 as s from found union all select template_seq, canon, 1 from named) group by 1, 2",
@@ -191,8 +188,6 @@ select option_seq, unnest(case when len(parts) >= 2 then parts else [value] end)
         "repeated_placeholders": f"select template_seq from task_templates where len({_PH('text')}) <> len(list_distinct({_PH('text')}))",
         "dedup_templates": f"""with v as (select text, level, min(template_seq) as template_seq, arg_min(id, template_seq) as id, count(*) as n, list_sort(list_distinct(flatten(list(coalesce(compatible_with, []))))) as l from task_templates where not {_BLANK('text')} group by 1, 2)
 select template_seq, id, n, len(l) as n_links, md5(array_to_string(l, '|')) as links_md5 from v""",
-        "replace_map": f"""with t as (select *exclude (id, text), id, regexp_replace(lower(text), '[^a-z0-9{{}}]+', ' ', 'g') as text from task_templates where not {_BLANK('text')}), k as (select text, level, arg_min(id, template_seq) as kept_id from t group by 1, 2)
-select t.id as old_id, arg_min(kept_id, template_seq) as kept_id from t join k on k.text = t.text and k.level = t.level where t.id <> kept_id group by 1""",
         "dedup_options": f"""with v as (select slot, value, min(option_seq) as option_seq, count(*) as n, flatten(list(coalesce(compatible_task_types, []) order by option_seq)) as a, flatten(list(coalesce(compatible_templates, []) order by option_seq)) as b
 from task_options where not {_BLANK('slot')} and not {_BLANK('value')} group by 1, 2) select option_seq, n, array_to_string({_UNIQ('a')}, '|') as types, array_to_string({_UNIQ('b')}, '|') as templates from v""",
         "orphan_options": f"""with u as (select distinct unnest(slots) as slot from task_templates) select option_seq, case when {_BLANK('value')} then 'blank value' else 'unused slot' end as why from task_options o
@@ -200,8 +195,6 @@ where {_BLANK('value')} or slot is null or not exists (select 1 from u where u.s
         "relink": f"""with p as (select slot, count(distinct id) as k from task_options where not {_BLANK('slot')} and not {_BLANK('value')} group by 1), s as (select template_seq, unnest(list_distinct(slots)) as slot from task_templates),
 c as (select template_seq, count(*) as n_slots, coalesce(sum(k), 0)::bigint as n_options, count(*) filter (where k is null) as unfilled from s left join p using (slot) where slot is not null group by 1)
 select template_seq, coalesce(n_slots, 0) as n_slots, coalesce(n_options, 0) as n_options, coalesce(unfilled, 0) as unfilled from (select template_seq from task_templates) left join c using (template_seq)""",
-        "self_replicating": f"""select option_seq, coalesce({_CANON}, {_MAP(V.DEFAULT_SLOTS, 'compatible_task_types[1]', 'null')}, 'subject_area') as new_slot from task_options where not {_BLANK('slot')} and not {_BLANK('value')}
-and (lower(trim(slot)) = lower(trim(value)) or ({_WORDS('value')} < 3 and contains(lower(trim(value)), lower(trim(slot)))))""",
         "numbered_slots": """with s as (select distinct template_seq, slot from (select template_seq, unnest(slots) as slot from task_templates) where regexp_matches(slot, '^.+?[0-9]+$')),
 b as (select template_seq, slot, regexp_replace(regexp_extract(slot, '^(.+?)([0-9]+)$', 1), '_+$', '') as base from s)
 select template_seq, case when base in ('n', '') then 'number_list' when base like '%s' then base else base || '_list' end as merged_slot, string_agg(slot, ',' order by slot) as members from b group by template_seq, base having count(*) >= 2""",
@@ -225,7 +218,6 @@ array_to_string([case when x = 'n' then 'number' else x end for x in slots], '|'
         "store_summary": """select 'templates' as what, '' as name, count(*) as n from task_templates union all select 'options', '', count(*) from task_options union all select 'multi_type_options', '', count(*) from task_options where len(compatible_task_types) > 1
 union all select 'level', coalesce(level, ''), count(*) from task_templates group by 2 union all select 'slot', coalesce(slot, ''), count(*) from task_options group by 2""",
         "compatible_options": f"with {_COMPAT} select id, slot, matched, in_slot, usable from compat",
-        "tiered_options": f"with {_COMPAT} select case when matched >= 3 then 1 when in_slot > 0 then 2 else 3 end as tier, count(*) as n from compat group by 1",
         "undercovered_templates": f"with {_T1}, {_O1}, {_TS}, v as (select slot, count(distinct value) as v from o1 group by 1) select id, count(*) as n_slots from ts left join v using (slot) group by 1 having max(coalesce(v, 0)) <= 1",
         "reusable_filter": f"""with {_T1}, v as (select id, regexp_replace(text, '\\{{\\w+\\}}', '', 'g') as f, len(list_distinct({_PH('text')})) as n_slots from t1), w as (select id, {_WORDS('f')} as framing, n_slots from v)
 select id, framing::int as framing, n_slots::int as n_slots, (not ((framing = 0 and n_slots = 1) or framing > 20))::int as kept from w""",
@@ -239,7 +231,6 @@ select first_id, id as other_id from filled m join f on f.filled = m.filled and
         "cosine_topk": f"""select query_id, vec_id, score, rank from (select a.vec_id as query_id, b.vec_id, round({_DOT('a.embedding', 'b.embedding')}, 6) as score, row_number() over (partition by a.vec_id order by round({_DOT('a.embedding', 'b.embedding')}, 6) desc, b.vec_id)::int as rank
 from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0 and {_DOT('a.embedding', 'b.embedding')} >= 0.3) where rank <= 10""",
         "type_means": f"with {_MEANS} select label, generate_subscripts(e, 1) - 1 as i, round(unnest(e), 5) as x from unit",
-        "cross_links": f"with {_MEANS} select a.label as a, b.label as b, round({_DOT('a.e', 'b.e')}, 4) as score from unit a join unit b on a.label < b.label where round({_DOT('a.e', 'b.e')}, 6) >= 0.1",
         "augment_numeric": f"select label, task_type, unnest(range(lo, hi + 1, step))::varchar as value, 'number' as slot from {_NUMERIC}",
         "augment_pools": f"with {_NEW} select slot, value, id from fresh",
         "augment_combos": _COMBO,
@@ -272,3 +263,9 @@ k as (select *, sum(new) over (partition by prompt_id order by seg_idx) as run f
         "absorb_context": f"with {_ABSORB}",
     }
     return q
+
+
+def oracle_sql() -> dict[str, str]:
+    from slotweave.plans import pipeline_sql
+
+    return oracle_parts() | pipeline_sql.oracle_sql()
