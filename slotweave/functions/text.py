@@ -47,10 +47,6 @@ def fill_all(text: Column, pairs: Column) -> Column:
     return F.aggregate(pairs, text, lambda acc, p: F.replace(acc, F.concat(F.lit("{"), p["slot"], F.lit("}")), p["value"]))
 
 
-def slugify(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_"), "^_+|_+$", "")
-
-
 def canonical_slot(slot: Column) -> Column:
     """The canonical name of a slot that is an alias, a single letter, numbered or a collection; null if it stays as it
     is. One pass: n1 becomes n, not number; a name of digits alone stays."""

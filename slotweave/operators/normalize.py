@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from slotweave.functions import text as X
 from slotweave.functions import values as V
+from slotweave.operators.skew import lookup
 
 
 def renamed_slots(options: DataFrame) -> DataFrame:
@@ -75,7 +76,7 @@ def merged_options(options: DataFrame, keys: tuple[str, ...] = ("slot", "value")
 def orphans(options: DataFrame, templates: DataFrame) -> DataFrame:
     """Options with a blank value, or whose slot no template has: (option_seq, why)."""
     used = templates.select(F.explode("slots").alias("slot")).where(F.col("slot").isNotNull()).distinct().withColumn("_used", F.lit(True))
-    o = options.select("option_seq", "slot", X.blank("value").alias("_blank")).join(used, "slot", "left")
+    o = lookup(options.select("option_seq", "slot", X.blank("value").alias("_blank")), used, ["slot"], F.col("option_seq"), "left")
     return o.where(F.col("_blank") | F.col("_used").isNull()).select("option_seq", F.when(F.col("_blank"), "blank value").otherwise("unused slot").alias("why"))
 
 
@@ -84,7 +85,7 @@ def relinked(templates: DataFrame, options: DataFrame) -> DataFrame:
     per slot first; the pairs themselves are never built."""
     per_slot = options.where(~X.blank("slot") & ~X.blank("value")).groupBy("slot").agg(F.count_distinct("id").alias("k"))
     s = templates.select("template_seq", F.explode_outer(F.array_distinct("slots")).alias("slot"))
-    return s.join(per_slot, "slot", "left").groupBy("template_seq").agg(
+    return lookup(s, per_slot, ["slot"], F.col("template_seq"), "left").groupBy("template_seq").agg(
         F.count("slot").alias("n_slots"), F.coalesce(F.sum("k"), F.lit(0)).alias("n_options"), F.count_if(F.col("slot").isNotNull() & F.col("k").isNull()).alias("unfilled")
     )
 
@@ -108,7 +109,7 @@ def normalized(templates: DataFrame, options: DataFrame) -> tuple[DataFrame, Dat
     t, o = with_canonical_slots(templates, options)
     t, o = synced_slots(without_repeated_placeholders(t.where(~X.blank("text")))), without_broken(expanded_lists(o))
     slots = t.select(F.explode("slots").alias("slot")).distinct()
-    return merged_templates(t), merged_options(o.join(slots, "slot", "left_semi"))
+    return merged_templates(t), merged_options(lookup(o, slots, ["slot"], F.col("option_seq")))
 
 
 def capped(df: DataFrame, by: str, order: str, most: int) -> DataFrame:

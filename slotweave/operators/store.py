@@ -5,6 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slotweave.functions import text as X
+from slotweave.operators.skew import lookup
 
 
 def _options(options: DataFrame) -> DataFrame:
@@ -81,7 +82,7 @@ def first_fill(templates: DataFrame, options: DataFrame) -> DataFrame:
     """Templates with `filled`: each placeholder's first occurrence filled with its slot's first option, else __slot__."""
     first = options.where(~X.blank("slot") & ~X.blank("value")).groupBy("slot").agg(F.min_by("value", "option_seq").alias("value"))
     t = _templates(templates).withColumn("held", F.array_distinct(X.placeholders(F.col("text"))))
-    s = t.select("id", F.posexplode_outer("held").alias("p", "slot")).join(first, "slot", "left")
+    s = lookup(t.select("id", F.posexplode_outer("held").alias("p", "slot")), first, ["slot"], F.col("id"), "left")
     pairs = s.where("slot is not null").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("p", "slot", F.coalesce("value", F.concat(F.lit("__"), "slot", F.lit("__"))).alias("value")))).alias("pairs"))
     t = t.join(pairs, "id", "left").withColumn("pairs", F.coalesce("pairs", F.array().cast("array<struct<p:int,slot:string,value:string>>")))
     filled = F.aggregate("pairs", F.col("text"), lambda acc, p: X.replace_first(acc, F.concat(F.lit("{"), p["slot"], F.lit("}")), p["value"]))
@@ -92,7 +93,7 @@ def same_type_collisions(filled: DataFrame) -> DataFrame:
     """(first_id, other_id): templates of one task type that read the same once filled, each with the first of them. A
     hot text is handled by aggregation: the first is a min_by, the others are joined to it."""
     first = filled.groupBy("filled", "task_type").agg(F.min_by("id", "template_seq").alias("first_id"), F.count("*").alias("n")).where("n > 1")
-    return filled.join(first, ["filled", "task_type"]).where("id <> first_id").select("first_id", F.col("id").alias("other_id"))
+    return lookup(filled, first.drop("n"), ["filled", "task_type"], F.col("id")).where("id <> first_id").select("first_id", F.col("id").alias("other_id"))
 
 
 def _cross_type(filled: DataFrame) -> DataFrame:

@@ -77,15 +77,29 @@ def means(vectors: DataFrame, by: str) -> DataFrame:
     return e.withColumn("norm", F.sqrt(dot(F.col("e"), F.col("e"))) + 1e-8).select(by, F.transform("e", lambda x: x / F.col("norm")).alias("embedding"))
 
 
-def links(groups: DataFrame, key: str, least: float) -> DataFrame:
-    """(a, b, score) for a < b: pairs of groups whose means have a cosine of at least `least`. groups is a small summary
-    table: its size is checked."""
-    groups = cut(groups.select(key, "embedding"))
-    n = groups.count()
-    if n > 20_000:
-        raise ValueError(f"{n} groups: use top_k")
-    a, b = groups.select(F.col(key).alias("a"), F.col("embedding").alias("x")), groups.select(F.col(key).alias("b"), F.col("embedding").alias("y"))
-    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", F.round(dot(F.col("x"), F.col("y")), 6).alias("score")).where(F.col("score") >= least)
+def links(groups: DataFrame, key: str, least: float, block: int = 8192) -> DataFrame:
+    """(a, b, score) for a < b: pairs of groups whose means have a cosine (to 6 places) of at least `least`. groups is a
+    summary table, one row a group; it is set against itself in blocks of `block` rows, as matrix products in the tasks."""
+    groups = cut(groups.select(F.col(key).cast("string").alias("a"), "embedding").where("embedding is not null"))
+    blocks = max(1, -(-groups.count() // block))
+    out = None
+    for i in range(blocks):
+        part = groups.where(F.pmod(F.xxhash64("a"), F.lit(blocks)) == i).collect()
+        shared = share(groups.sparkSession, ([r["a"] for r in part], np.array([r["embedding"] for r in part], dtype=np.float64)))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            names, m = opened(shared)
+            for b in batches if len(names) else ():
+                if not len(b):
+                    continue
+                s = np.round(np.stack(b["embedding"].to_numpy()).astype(np.float64) @ m.T, 6)
+                rows = [(x, names[j], float(s[i, j])) for i, x in enumerate(b["a"]) for j in np.flatnonzero(s[i] >= least) if x < names[j]]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["a", "b", "score"])
+
+        one = groups.mapInPandas(run, "a string, b string, score double")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def cluster(names: list[str], vectors: np.ndarray, most: float = 0.35) -> list[int]:

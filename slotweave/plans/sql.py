@@ -51,15 +51,6 @@ from (select id, template_seq, task_type, text, held, unnest(case when len(held)
 filled as (select id, template_seq, task_type, held, {{fold}} as filled from vals)"""
 
 
-def _fold(n: int = 6) -> str:
-    """Replaces the first occurrence of each held placeholder in turn, at most n of them."""
-    out = "text"
-    for i in range(1, n + 1):
-        f = f"('{{' || held[{i}] || '}}')"
-        out = f"(case when len(held) >= {i} and position({f} in {out}) > 0 then left({out}, position({f} in {out}) - 1) || vs[{i}] || substr({out}, position({f} in {out}) + len({f})) else {out} end)"
-    return out
-
-
 def _fill() -> str:
     # The fold is built step by step in nested selects, so that its text does not double with each step.
     steps = _FILL.split("filled as (")[0]

@@ -32,9 +32,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def width(spark: SparkSession) -> int:
-    """Partitions for a stage that is bound by Python or regex work rather than by bytes."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+def finished(spark: SparkSession, path: str) -> list[int]:
+    """The numbered folders below path that were written to their end."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(at)]
+    return [int(n) for n in names if n.isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
 
 
 def share(spark: SparkSession, value):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from slotweave.functions import text as X
+from slotweave.session import finished
 
 
 def updated_types(types: DataFrame | None, options: DataFrame, most: int = 8, short: int = 50) -> DataFrame:
@@ -25,10 +26,12 @@ def updated_types(types: DataFrame | None, options: DataFrame, most: int = 8, sh
 
 
 class TypeTable:
-    """The types as a table with one folder a version; batches are applied once each, in order (foreachBatch)."""
+    """The types as a table with one folder a batch; batches are applied once each, in order (foreachBatch). The newest
+    folder that was written to its end counts, so a new object on the same path goes on where the last one ended."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.batch = spark, path, -1
+        self.spark, self.path = spark, path
+        self.batch = max(finished(spark, path), default=-1)
 
     def read(self) -> DataFrame | None:
         return self.spark.read.parquet(f"{self.path}/{self.batch}") if self.batch >= 0 else None
