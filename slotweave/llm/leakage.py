@@ -110,42 +110,60 @@ class Fingerprints:
         self.prints, self.whose = keys[order], whose[order]
         self.short = np.flatnonzero(self.size < K)
 
-    def proposed(self, codes: np.ndarray) -> np.ndarray:
-        """The passages that share a fingerprint with the document."""
+    def proposed(self, codes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Codes doc * passages + passage, sorted, of the passages that share a fingerprint with a document. codes: the words
+        of several documents one after the other; doc: whose each word is."""
+        if len(codes) < K:
+            return np.empty(0, dtype=np.int64)
         g = grams(codes)
-        g = np.unique(g[winnow(g)])
-        at, _ = _ranges(self.prints, g)
-        return np.unique(np.r_[self.whose[at], self.short])
-
-    def candidates(self, codes: np.ndarray, part: float = 0.4) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """passage -> where in the document and in the passage its pairs of words lie, of the passages proposed that
-        held_part may give `part` or more: what it counts lies in runs of two equal words or more, which make up 0.75 of
-        its pieces and hold 0.75 of their names and figures; a piece has no gap of more than four words."""
-        who = self.proposed(codes)
-        if not len(who):
-            return {}
-        at, place = _ranges(self.hashes, grams(codes, 2))
-        at = self.at[at]
-        of = self.owner[at]
-        mine = _member(of, who)
-        at, place, of = at[mine], place[mine], of[mine]
-        covered = np.unique(np.concatenate((at, at + 1)))
-        whose = self.owner[covered]
-        first = np.flatnonzero(np.concatenate(([True], whose[1:] != whose[:-1]))) if len(whose) else whose
+        within = doc[: len(g)] == doc[K - 1 :]
+        # What reaches over a document's end never is the least; at an end a window may keep one print more.
+        kept = winnow(np.where(within, g, np.uint64(0xFFFFFFFFFFFFFFFF)))
+        kept = kept[within[kept]]
+        at, place = _ranges(self.prints, g[kept])
+        return np.unique(doc[kept[place]] * len(self.words) + self.whose[at])
+
+    def candidates(self, texts: list[np.ndarray], part: float = 0.4) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(document, passage, places) of several documents (their words' codes): where in the document and in the passage
+        equal pairs of words lie, for the passages proposed that held_part may give `part` or more: what it counts lies in
+        runs of two equal words or more, which make up 0.75 of its pieces and hold 0.75 of their names and figures; a piece
+        has no gap of more than four words."""
+        many, wide = len(self.words), len(self.owner) + 1
+        length = np.array([len(t) for t in texts], dtype=np.int64)
+        doc, begin = np.repeat(np.arange(len(texts)), length), np.cumsum(length) - length
+        codes = np.concatenate(texts) if texts else np.empty(0, dtype=np.uint64)
+        if len(codes) < 2 or not many:
+            return
+        asked = self.proposed(codes, doc)
+        pairs = np.flatnonzero(doc[:-1] == doc[1:])
+        at, place = _ranges(self.hashes, grams(codes, 2)[pairs])
+        at, place = self.at[at], pairs[place]
+        key = doc[place] * many + self.owner[at]
+        keep = _member(key, asked)
+        if len(self.short):
+            keep |= _member(self.owner[at], self.short)
+        at, place, key = at[keep], place[keep], key[keep]
+        if not len(at):
+            return
+        covered = doc[place] * wide + at
+        covered = np.unique(np.concatenate((covered, covered + 1)))
+        of, to = covered // wide, covered % wide
+        whose = of * many + self.owner[to]
+        first = np.flatnonzero(np.concatenate(([True], whose[1:] != whose[:-1])))
         who, count = whose[first], np.diff(np.append(first, len(whose)))
-        marked = np.add.reduceat(self.marked[covered].astype(np.int64), first) if len(first) else first
+        marked = np.add.reduceat(self.marked[to].astype(np.int64), first)
         least = 0.75 * self.least * (part >= 0.4)
-        keep = _member(of, who[(count >= 0.75 * part * self.size[who]) & (marked >= least[who])])
-        at, place = at[keep], place[keep]
-        order = np.lexsort((at, place, self.owner[at]))
-        at, place = at[order], place[order]
-        of = self.owner[at]
-        bounds = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True]))) if len(at) else []
-        out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        passage = who % many
+        keep = _member(key, who[(count >= 0.75 * part * self.size[passage]) & (marked >= least[passage])])
+        at, place, key = at[keep], place[keep], key[keep]
+        if not len(at):
+            return
+        order = np.lexsort((at, place, key))
+        at, place, key = at[order], place[order], key[order]
+        bounds = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
         for lo, hi in zip(bounds[:-1], bounds[1:]):
-            p, q = place[lo:hi], at[lo:hi]
-            i = int(self.owner[q[0]])
-            q = q - self.start[i]
+            d, i = divmod(int(key[lo]), many)
+            p, q = place[lo:hi] - begin[d], at[lo:hi] - self.start[i]
             n = int(self.size[i])
             segment = np.concatenate(([0], np.cumsum(p[1:] - p[:-1] > 6)))
             seen = np.zeros((segment[-1] + 1, n), dtype=bool)
@@ -156,9 +174,27 @@ class Fingerprints:
                 held = held + np.where(held == top[1], top[0] if top[0] < top[1] else top[1], top[1])
             fits = held >= 0.75 * part * n  # with the best other one
             if fits.any() and self.marked[self.start[i] : self.start[i] + n][seen[fits].any(0)].sum() >= least[i]:
-                of = fits[segment]
-                out[i] = (p[of], q[of])
-        return out
+                mine = fits[segment]
+                yield d, i, p[mine], q[mine]
+
+
+#: Words of documents that are looked up at once; a longer document is looked up alone.
+AT_ONCE = 20_000
+
+
+def _together(texts: list[str], hasher: Hasher) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(place of the first, codes) of documents of AT_ONCE words or so together."""
+    part: list[np.ndarray] = []
+    first = words = 0
+    for k, text in enumerate(texts):
+        codes = hasher.codes(plain_words(text))
+        if part and words + len(codes) > AT_ONCE:
+            yield first, part
+            part, first, words = [], k, 0
+        part.append(codes)
+        words += len(codes)
+    if part:
+        yield first, part
 
 
 def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -295,11 +331,12 @@ def find_leaks(documents: DataFrame, items: DataFrame, least: float = 0.4, max_i
             prints, hasher = opened(shared), Hasher()
             for b in batches:
                 out = []
-                for doc, text in zip(b["doc_id"], b["text"]):
-                    for i, (at, to) in prints.candidates(hasher.codes(plain_words(text)), min(least, 0.4)).items():
+                docs = list(b["doc_id"])
+                for first, part in _together(list(b["text"]), hasher):
+                    for d, i, at, to in prints.candidates(part, min(least, 0.4)):
                         held = held_part(prints.special[i], at, to)
                         if held >= least:
-                            out += [(doc, item, held) for item in prints.items[i]]
+                            out += [(docs[first + d], item, held) for item in prints.items[i]]
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "held"])
 
         one = documents.where("trim(text) <> ''").select("doc_id", "text").mapInPandas(run, "doc_id long, item_id long, held double")
