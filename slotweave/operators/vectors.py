@@ -164,16 +164,37 @@ def word_vectors(texts: list[str], dims: int = 256) -> list[np.ndarray]:
 
 
 def slot_clusters(options: DataFrame, most: float = 0.35, examples: int = 8, max_slots: int = 5_000) -> DataFrame:
-    """(slot, cluster): slots with two or more distinct values, clustered by the embedding of 'slot: values'. Average
-    linkage needs all slots at once: their number is checked, rarer slots than the max_slots commonest stay out and get -1."""
+    """(slot, cluster): slots with two or more distinct values, clustered by the embedding of 'slot: values'. Average linkage
+    needs all slots at once, so up to max_slots, the commonest first, are clustered together; every further slot goes to the
+    cluster that is nearest on average if that is within the threshold, and what is left is clustered in the same way."""
     o = options.where("trim(slot) <> '' and trim(value) <> ''").groupBy(F.lower(F.trim("slot")).alias("slot"), F.lower(F.trim("value")).alias("value")).agg(F.min("option_seq").alias("s"), F.count("*").alias("n"))
     first = o.withColumn("r", F.row_number().over(W.partitionBy("slot").orderBy("s"))).where(F.col("r") <= examples)
     few = o.groupBy("slot").agg(F.sum("n").alias("n"), F.count("*").alias("v")).where("v >= 2")
     few = few.join(first.groupBy("slot").agg(F.array_sort(F.collect_list(F.struct("s", "value"))).alias("x")), "slot")
-    text = few.select("slot", "n", F.concat("slot", F.lit(": "), F.array_join(F.transform("x", lambda t: t["value"]), ", ")).alias("text"))
-    rows = text.orderBy(F.col("n").desc(), "slot").limit(max_slots).toPandas()
-    rows = rows.sort_values("slot").reset_index(drop=True)
-    if not len(rows):
-        return options.sparkSession.createDataFrame([], "slot string, cluster int")
-    clusters = cluster(list(rows["slot"]), np.stack(hashed_vector(rows["text"])), most)
-    return text.select("slot").join(F.broadcast(options.sparkSession.createDataFrame(list(zip(rows["slot"], clusters)), "slot string, cluster int")), "slot", "left").fillna(-1, ["cluster"])
+    left = cut(few.select("slot", "n", F.concat("slot", F.lit(": "), F.array_join(F.transform("x", lambda t: t["value"]), ", ")).alias("text")))
+    spark, base = options.sparkSession, 0
+    out = spark.createDataFrame([], "slot string, cluster int")
+    while True:
+        rows = left.orderBy(F.col("n").desc(), "slot").limit(max_slots).toPandas().sort_values("slot").reset_index(drop=True)
+        if not len(rows):
+            return out
+        v = np.stack(hashed_vector(rows["text"]))
+        clusters = np.array(cluster(list(rows["slot"]), v, most))
+        found = spark.createDataFrame(list(zip(rows["slot"], (clusters + base).tolist())), "slot string, cluster int")
+        out = out.unionByName(found)
+        if len(rows) < max_slots:
+            return out
+        means = np.stack([v[clusters == c].mean(0) for c in range(clusters.max() + 1)])
+        shared = share(spark, (means, base))
+
+        def nearest(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            m, at = opened(shared)
+            for b in batches:
+                if len(b):
+                    s = np.stack(hashed_vector(b["text"])) @ m.T
+                    k = s.argmax(1)
+                    yield b.assign(cluster=np.where(1 - s[np.arange(len(b)), k] <= most, at + k, -1).astype("int32"))
+
+        rest = cut(left.join(found, "slot", "left_anti").mapInPandas(nearest, "slot string, n long, text string, cluster int"))
+        out = out.unionByName(rest.where("cluster >= 0").select("slot", "cluster"))
+        left, base = rest.where("cluster < 0").drop("cluster"), base + len(means)

@@ -3,6 +3,7 @@ sources; each over whole tables."""
 
 import json
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,8 +11,8 @@ from slotweave.functions import backends
 from slotweave.functions import text as X
 from slotweave.functions import values as V
 from slotweave.operators import analyze, compat, detect, fixes, generate, replies, segment, store, taxonomy
-from slotweave.session import cut, read
-from slotweave.sources import readers
+from slotweave.session import cut, ensure_checkpoint_dir, read
+from slotweave.sources import readers, writers
 
 _REGISTRY: dict = {}
 
@@ -367,3 +368,74 @@ def source_prompts(s, d):
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         return readers.load_prompts(s, registry).select("source", F.md5("prompt").alias("prompt_md5")).groupBy("source", "prompt_md5").agg(F.count("*").alias("n"))
+
+
+# sinks and back
+
+
+def _folder(s) -> str:
+    return f"{ensure_checkpoint_dir(s)}/saved-{uuid.uuid4().hex}"
+
+
+@_query
+def saved_store(s, d):
+    """The store written as JSON lines and loaded again, old level names brought up to date."""
+    at = _folder(s)
+    writers.save_store(_t(s, d), _o(s, d), at, "json")
+    t, o = readers.load_store(s, [f"{at}/templates"], [f"{at}/options"], "jsonl")
+    a = t.groupBy(F.coalesce("level", F.lit("")).alias("name")).agg(F.count("*").alias("n")).select(F.lit("templates").alias("what"), "name", "n")
+    return a.unionByName(o.groupBy(F.coalesce("slot", F.lit("")).alias("name")).agg(F.count("*").alias("n")).select(F.lit("options").alias("what"), "name", "n"))
+
+
+@_query
+def saved_augmented(s, d):
+    """The augmented options of the store, written as Parquet and loaded again."""
+    at = _folder(s)
+    writers.save_store(_t(s, d).limit(0), writers.augmented(_o(s, d)), at)
+    return readers.load_store(s, [], [f"{at}/options"], "parquet")[1].select("id", "source_option_id").groupBy("id", "source_option_id").agg(F.count("*").alias("n"))
+
+
+@_query
+def saved_prompts(s, d):
+    """Prompts written as JSON lines; how often each label was used, from the file beside them."""
+    at = _folder(s)
+    writers.save_prompts(analyze.deliveries(read(s, d, "generated_prompts")).select("id", "active_labels", "combo_id"), at)
+    use = s.read.json(f"{at}.coverage/labels").where("label is not null").select("label", "n")
+    return use.unionByName(s.read.json(f"{at}.coverage/summary").select(F.lit("all prompts").alias("label"), F.col("prompts").alias("n")))
+
+
+@_query
+def saved_segments(s, d):
+    """Segments written as JSON lines and gathered by prompt again."""
+    at, t = _folder(s), _t(s, d).where(~X.blank("text"))
+    writers.save_segments(t.select(F.col("text").alias("span_text"), F.col("task_type").alias("taxonomy_label"), "level", F.col("source").alias("source_prompt"), F.lit("llm").alias("classification_method")), at)
+    x = readers.load_segments(s, at)
+    return x.select(F.col("source_prompt").alias("prompt"), F.size("segments").cast("long").alias("n"), F.md5(F.array_join(F.array_sort(F.transform("segments", lambda g: g["span_text"])), "|")).alias("spans_md5"))
+
+
+@_query
+def saved_few_shots(s, d):
+    """Examples written as one JSON object by data set and read again."""
+    at = _folder(s)
+    e = read(s, d, "subject_examples").select(
+        F.col("subject").alias("dataset"), F.col("text").alias("prompt"),
+        F.when(F.col("example_id") % 3 > 0, F.struct(F.array(F.struct("text", F.array(F.lit("x")).alias("slots"), F.col("subject").alias("task_type"), F.lit("task_type").alias("level"))).alias("templates"), F.array(F.struct(F.lit("v").alias("value"), F.lit("x").alias("slot"))).alias("options"))).alias("annotation"),
+    )
+    writers.save_few_shots(e, at)
+    return readers.load_few_shots(s, at).select("dataset", F.md5("prompt").alias("prompt_md5"), F.coalesce(F.get("annotation.templates", F.lit(0))["task_type"], F.lit("")).alias("task_type"))
+
+
+@_query
+def saved_taxonomy(s, d):
+    """The labels written nested by level and group, and read again."""
+    at = _folder(s)
+    writers.save_taxonomy(_leaves(s, d), at)
+    g = s.read.json(at).select("level", F.inline("groups"))
+    return g.select("level", "label_group", F.explode("labels").alias("x")).select("level", "label_group", "x.label")
+
+
+@_query
+def saved_types(s, d):
+    at = _folder(s)
+    writers.save_types(_types(s, d)[1], at)
+    return s.read.json(at).select(F.col("category").alias("of"), F.explode("types").alias("x")).select("of", "x.name", F.size("x.example_values").cast("long").alias("n"))

@@ -166,6 +166,13 @@ select round(m, 4) as mean_active, round(f, 4) as fraction_active, case when f <
         "source_prompts": f"""with a as (select 'documents' as source, text as prompt from documents where not {_BLANK('text')} order by md5('42|' || text), text limit 200),
 b as (select 'prompts' as source, array_to_string(list_filter([task, array_to_string(constraints, chr(10))], lambda x: not {_BLANK('x')}), chr(10)) as prompt from generated_prompts)
 select source, md5(prompt) as prompt_md5, count(*) as n from (select * from a union all select * from b) where not {_BLANK('prompt')} group by 1, 2""",
+        "saved_store": f"""select 'templates' as what, coalesce({_MAP(V.OLD_LEVELS, 'level', 'level')}, '') as name, count(*) as n from task_templates group by 2 union all select 'options', coalesce(slot, ''), count(*) from task_options group by 2""",
+        "saved_augmented": "select id, source_option_id, count(*) as n from task_options where source_option_id is not null or source = 'augmented' group by 1, 2",
+        "saved_prompts": f"with {_G} select label, count(*) as n from (select unnest(active_labels) as label from g) where label is not null group by 1 union all select 'all prompts', count(*) from g",
+        "saved_segments": f"select source as prompt, count(*) as n, md5(string_agg(text, '|' order by text)) as spans_md5 from task_templates where not {_BLANK('text')} group by 1",
+        "saved_few_shots": "select subject as dataset, md5(text) as prompt_md5, case when example_id % 3 > 0 then subject else '' end as task_type from subject_examples",
+        "saved_taxonomy": "select level, label_group, label from taxonomy_leaves",
+        "saved_types": f"with {_TYPES} select category as of, name, len(example_values) as n from typ",
     }
     parts = oracle_parts()
     count = lambda name, where="true": f"(select count(*) from ({parts[name]}) where {where})"

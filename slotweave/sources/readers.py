@@ -85,16 +85,18 @@ def load_prompts(spark: SparkSession, registry: list[Source], only: list[str] |
     return out
 
 
-def load_store(spark: SparkSession, templates: list[str], options: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Templates and options from JSON arrays or Parquet, old level names brought up to date, rows numbered by arrival.
+def load_store(spark: SparkSession, templates: list[str], options: list[str], form: str = "") -> tuple[DataFrame, DataFrame]:
+    """Templates and options from JSON arrays, JSON lines (form jsonl) or Parquet (form parquet, or by the files' names), old level names brought up to date, rows numbered by arrival.
     Empty lists of paths give empty tables."""
     old = F.create_map(*[F.lit(x) for kv in V.OLD_LEVELS.items() for x in kv])
 
     def table(paths: list[str], schema: str) -> DataFrame:
         if not paths:
             return spark.createDataFrame([], schema)
-        if all(p.rstrip("/").endswith(".parquet") for p in paths):
+        if form == "parquet" or not form and all(p.rstrip("/").endswith(".parquet") for p in paths):
             return spark.read.schema(schema).parquet(*paths)
+        if form == "jsonl":
+            return spark.read.schema(schema).json(paths)
         return spark.read.schema(schema).option("multiLine", True).json(paths)
 
     t = table(templates, TEMPLATE).withColumn("level", F.coalesce(F.element_at(old, F.col("level")), "level"))

@@ -143,3 +143,13 @@ def test_tiers_need_no_rows(spark, store_dir):
     assert store.find(t, level="task_type", slot="pet").count() == 2
     assert normalize.numbered_groups(t).where("merged_slot = 'number_list' or merged_slot like 'number%'").count() == 2
     assert pipeline.queries().keys() >= pipeline_sql.oracle_sql().keys()
+
+
+def test_slots_beyond_the_bound_are_clustered_too(spark):
+    names = ["city name", "city names", "city named", "tone of voice", "tone of voices", "zinc ore", "zinc ores"]
+    rows = [(10 * i + j, n, v) for i, n in enumerate(names) for j, v in enumerate(["red", "blue", "green"])]
+    df = spark.createDataFrame(rows, "option_seq long, slot string, value string")
+    whole = {r["slot"]: r["cluster"] for r in vectors.slot_clusters(df, most=0.5).collect()}
+    few = {r["slot"]: r["cluster"] for r in vectors.slot_clusters(df, most=0.5, max_slots=2).collect()}
+    same_of = lambda m: {(a, b) for a in m for b in m if m[a] == m[b]}
+    assert set(few) == set(names) and min(few.values()) >= 0 and same_of(few) == same_of(whole)
