@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from slotweave.functions import text as X
 from slotweave.functions import values as V
+from slotweave.session import cut
 
 
 def hash_number(key: Column, n: Column) -> Column:
@@ -90,7 +91,7 @@ def pool(templates: DataFrame, options: DataFrame) -> DataFrame:
     of = _templates(templates).select(F.col("id").alias("_t"), F.coalesce("task_type", F.lit("")).alias("_label"))
     named = o.where(own).select("slot", "id", "value", "types", F.explode(F.array_distinct("templates")).alias("_t")).join(of, "_t").where(~F.coalesce(F.array_contains("types", F.col("_label")), F.lit(False)))
     lists = one.unionByName(typed).select("slot", "id", "value", F.explode("ls").alias("list")).unionByName(named.select("slot", "id", "value", F.concat(F.lit("i|"), "_t").alias("list")))
-    return numbered(lists, ["slot", "list"], F.col("id"))
+    return cut(numbered(lists, ["slot", "list"], F.col("id")))
 
 
 def drawn(asked: DataFrame, lists: DataFrame) -> DataFrame:
@@ -135,7 +136,7 @@ def generate(templates: DataFrame, options: DataFrame, n: int, density: int = 3,
 
     t = _templates(templates).where("level is not null").select("id", "text", F.coalesce("task_type", F.lit("")).alias("label"), "level", (F.col("level") == "task_type").alias("task"))
     t = t.withColumn("held", F.filter(F.array_distinct(X.placeholders(F.col("text"))), lambda x: x != "constraints"))
-    ranked = numbered(t, ["task", "label"], F.col("id"))
+    ranked = cut(numbered(t, ["task", "label"], F.col("id")))
     share = ranked.groupBy("task", "label").agg(F.max("size").alias("size")).withColumn("w", F.ceil(F.sqrt("size")))
     w = W.partitionBy("task").orderBy("label").rowsBetween(W.unboundedPreceding, -1)  # labels: a small table
     share = share.withColumn("b", F.coalesce(F.sum("w").over(w), F.lit(0)))
@@ -153,7 +154,7 @@ def generate(templates: DataFrame, options: DataFrame, n: int, density: int = 3,
     of = lambda *c: W.partitionBy("prompt_no", "try", *c).orderBy("place")
     rules = draws.withColumn("_r", F.row_number().over(of("label"))).where("_r = 1").join(part.where("not task").drop("task"), ["label", "rank"])
     rules = rules.withColumn("_r", F.row_number().over(of("level"))).where("_r <= 2").withColumn("_r", F.row_number().over(of())).where(F.col("_r") <= density - 1)
-    parts = tasks.unionByName(rules.select("prompt_no", "try", "place", "template", "label", "text", "held"))
+    parts = cut(tasks.unionByName(rules.select("prompt_no", "try", "place", "template", "label", "text", "held")))
     slots = parts.select("prompt_no", "try", "place", "template", "label", F.posexplode("held").alias("p", "slot")).withColumn("h", number_of(key(F.col("place").cast("string"), F.col("slot"))))
     fills = drawn(slots, pool(templates, options)).withColumn("by", F.coalesce("value", F.when(F.col("slot") == "n", (F.col("h") % 8 + 3).cast("string")).otherwise("...")))
     one = fills.groupBy("prompt_no", "try", "place").agg(F.array_sort(F.collect_list(F.struct("p", "slot", "by", "option_id", "value"))).alias("f"))
