@@ -153,3 +153,76 @@ def test_slots_beyond_the_bound_are_clustered_too(spark):
     few = {r["slot"]: r["cluster"] for r in vectors.slot_clusters(df, most=0.5, max_slots=2).collect()}
     same_of = lambda m: {(a, b) for a in m for b in m if m[a] == m[b]}
     assert set(few) == set(names) and min(few.values()) >= 0 and same_of(few) == same_of(whole)
+
+
+@pytest.fixture(scope="module")
+def many_contexts(spark):
+    """Templates of 5,000 contexts: more than one block that the index once held on the driver."""
+    n = 5_000
+    t = spark.range(n).select(F.col("id").alias("template_seq"), F.concat(F.lit("t"), "id").alias("id"), F.concat(F.lit("word "), "id", F.lit(" tell {x}")).alias("text"), F.array(F.lit("x")).alias("slots"), F.lit("q").alias("task_type"), F.lit("task_type").alias("level"))
+    o = [(i, f"o{i:02d}", "y", v, None, None) for i, v in enumerate(["word 7 tell", "tell word", "tell", "word tell 4999", "word 12 tell something", "word 12 tell something", "far away"])]
+    return t, spark.createDataFrame(o, "option_seq long, id string, slot string, value string, compatible_task_types array<string>, compatible_templates array<string>")
+
+
+def to_driver(spark, f):
+    """What f gives and the most rows that one call brought to the driver meanwhile."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    sizes, was = [0], DataFrame.collect
+
+    def collect(self):
+        rows = was(self)
+        sizes.append(len(rows))
+        return rows
+
+    DataFrame.collect = collect
+    try:
+        out = f()
+    finally:
+        DataFrame.collect = was
+    return out, max(sizes)
+
+
+@pytest.mark.parametrize("least", [0.7])
+def test_index_keeps_contexts_off_the_driver(spark, many_contexts, least):
+    t, o = many_contexts
+    found, most = to_driver(spark, lambda: compat.index(t, o, least=least, most=2))
+    assert most < 100
+    got = {}
+    for r in found.where("id in ('t7', 't12', 't4999', 't300')").collect():
+        got.setdefault(r["id"], {})[r["rank"]] = (r["option_id"], r["score"])
+    texts = {i: f"word {i} tell [SOMETHING]" for i in (7, 12, 4999, 300)}
+    values = {r["id"]: r["value"] for r in o.collect()}
+    x, y = backends.WordEmbedder().embed(list(texts.values())), backends.WordEmbedder().embed(list(values.values()))
+    for i, a in zip(texts, x):
+        want = sorted((-round(float(a @ b), 6), k) for k, b in zip(values, y) if round(float(a @ b), 6) >= least)[:2]
+        assert got.get(f"t{i}", {}) == {j: (k, -s) for j, (s, k) in enumerate(want, 1)}
+
+
+@pytest.mark.parametrize("least", [0.2, 0.5])
+def test_nearest_of_any_vectors(spark, least):
+    """Counts, long counts and dense numbers, among them equal scores and several ids of a text."""
+
+    class Mixed:
+        def embed(self, texts):
+            import numpy as np
+
+            out = []
+            for x in texts:
+                r = np.random.default_rng(int(x[1:]))
+                v = r.normal(size=16) if int(x[1:]) % 5 == 0 else r.integers(-1, 2, 16) * (9 if int(x[1:]) % 7 == 0 else 1) + (r.integers(0, 40, 16) == 0) * 30.0
+                out.append(v / (np.linalg.norm(v) or 1))
+            return np.stack(out)
+
+    texts = [f"v{i}" for i in range(4000)]
+    q = spark.createDataFrame([(f"q{i}", [f"a{i}"]) for i in range(60)], "text string, about array<string>")
+    v = spark.createDataFrame([(x, [f"{hash_(x)}-{j}" for j in range(1 + i % 3)]) for i, x in enumerate(texts) for hash_ in [lambda x: f"{int(x[1:]) * 7919 % 4001:05d}"]], "text string, ids array<string>")
+    got = {}
+    for r in vectors.nearest(q, v, Mixed, k=5, least=least).collect():
+        got.setdefault(r["about"], []).append((r["rank"], r["vec_id"], r["score"]))
+    a, b = Mixed().embed([f"q{i}" for i in range(60)]), Mixed().embed(texts)
+    ids = {r["text"]: r["ids"] for r in v.collect()}
+    for i in range(60):
+        s = (b @ a[i]).round(6)
+        want = sorted((-float(s[j]), k) for j, x in enumerate(texts) if s[j] >= least for k in ids[x])[:5]
+        assert [(k, y) for _, k, y in sorted(got.get(f"a{i}", []))] == [(k, -y) for y, k in want]
