@@ -183,7 +183,7 @@ def to_driver(spark, f):
     return out, max(sizes)
 
 
-@pytest.mark.parametrize("least", [0.7])
+@pytest.mark.parametrize("least", [0.7, 0.35])
 def test_index_keeps_contexts_off_the_driver(spark, many_contexts, least):
     t, o = many_contexts
     found, most = to_driver(spark, lambda: compat.index(t, o, least=least, most=2))
