@@ -199,6 +199,18 @@ def test_index_keeps_contexts_off_the_driver(spark, many_contexts, least):
         assert got.get(f"t{i}", {}) == {j: (k, -s) for j, (s, k) in enumerate(want, 1)}
 
 
+def test_tiers_ask_the_index_for_few(spark, many_contexts):
+    t, o = many_contexts
+    o = o.unionByName(spark.createDataFrame([(100 + i, f"x{i}", "x", f"v{i}", ["_universal"], None) for i in range(3)], o.schema)).withColumn("option_type", F.lit(None).cast("string"))
+    t = t.withColumn("slots", F.when(F.col("template_seq") == 7, F.array(F.lit("z"))).otherwise(F.col("slots")))
+    asked = []
+    kinds = spark.createDataFrame([], "option_type string, slot string")
+    out, most = to_driver(spark, lambda: compat.tiers(t, o, kinds, lambda few: asked.append(few.collect()) or compat.index(t, o, least=0.35, only=few)))
+    assert asked == [[("t7", "z")]] and most < 100
+    assert {(r["id"], r["tier"]) for r in out.where("id in ('t7', 't8')").collect()} == {("t7", 3), ("t8", 1)}
+    assert out.where("id = 't7'").collect()[0]["n3"] == compat.index(t, o, least=0.35).where("id = 't7'").count()
+
+
 @pytest.mark.parametrize("least", [0.2, 0.5])
 def test_nearest_of_any_vectors(spark, least):
     """Counts, long counts and dense numbers, among them equal scores and several ids of a text."""
