@@ -199,6 +199,18 @@ def test_index_keeps_contexts_off_the_driver(spark, many_contexts, least):
         assert got.get(f"t{i}", {}) == {j: (k, -s) for j, (s, k) in enumerate(want, 1)}
 
 
+def test_near_index_leaves_the_driver_empty(spark, many_contexts, tmp_path, monkeypatch):
+    """The registered query, written out: its rows are those of its SQL, and neither rows nor vectors pass the driver."""
+    t, o = many_contexts
+    t.write.parquet(f"{tmp_path}/task_templates.parquet")
+    o.write.parquet(f"{tmp_path}/task_options.parquet")
+    sent, was = [0], spark.sparkContext.broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(len(value)) or was(value))
+    _, most = to_driver(spark, lambda: queries.queries()["compat_index_near"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out"))
+    assert most < 100 and max(sent) < 100_000
+    same(spark, str(tmp_path), lambda s, d: s.read.parquet(f"{d}/out"), sql.oracle_sql()["compat_index_near"])
+
+
 def test_tiers_ask_the_index_for_few(spark, many_contexts):
     t, o = many_contexts
     o = o.unionByName(spark.createDataFrame([(100 + i, f"x{i}", "x", f"v{i}", ["_universal"], None) for i in range(3)], o.schema)).withColumn("option_type", F.lit(None).cast("string"))
